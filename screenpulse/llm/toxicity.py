@@ -33,8 +33,8 @@ BLOCK = 64
 THRESHOLD = 0.7
 #: Weight of the prior against votes.
 PRIOR_WEIGHT = 0.1
-#: Least standard errors by which a term's log-odds must exceed MARGIN; least documents of the sample that hold it.
-SIGMAS, MARGIN, MIN_DOCS = 3.5, math.log(2), 5
+#: Least likelihood ratio (G) of a term against independence, least log-odds, and documents of the sample that hold it.
+LEAST_G, LEAST_ODDS, MIN_DOCS = 25.0, math.log(3), 5
 
 _TERM = re.compile(r"[^\W\d_]+")
 
@@ -151,11 +151,13 @@ def vocabulary(docs: DataFrame, chosen: DataFrame, max_terms: int) -> list[str]:
     if total is None:
         return []
     n0, n1 = total["c0"], total["c1"]
-    a, b, c, d = F.col("c1") + 0.5, F.lit(n1 + 0.5) - F.col("c1"), F.col("c0") + 0.5, F.lit(n0 + 0.5) - F.col("c0")
-    odds = F.log(a / b) - F.log(c / d)
-    error = F.sqrt(1 / a + 1 / b + 1 / c + 1 / d)
-    strong = F.abs(odds) - SIGMAS * error - MARGIN
-    told = counts.where(F.col("term").isNotNull() & (F.col("c0") + F.col("c1") >= MIN_DOCS)).withColumn("strong", strong).where("strong > 0")
+    a, c = F.col("c1"), F.col("c0")
+    b, d = F.lit(n1) - a, F.lit(n0) - c
+    n = n0 + n1
+    part = lambda seen, row, column: F.when(seen > 0, seen * F.log(seen * n / (row * column))).otherwise(0.0)
+    g = 2 * (part(a, a + c, F.lit(n1)) + part(c, a + c, F.lit(n0)) + part(b, b + d, F.lit(n1)) + part(d, b + d, F.lit(n0)))
+    odds = F.log((a + 0.5) / (b + 0.5)) - F.log((c + 0.5) / (d + 0.5))
+    told = counts.where(F.col("term").isNotNull() & (a + c >= MIN_DOCS)).withColumn("strong", g).where((F.col("strong") >= LEAST_G) & (F.abs(odds) >= LEAST_ODDS))
     return sorted(r["term"] for r in told.orderBy(F.desc("strong"), "term").limit(max_terms).collect())
 
 
