@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from . import ann, chat, decontaminate, linededup, packing, pii, quality, secretscan, simhash, toxicity
 from .common import read
+from .oracle import SQL
 
 
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -68,4 +69,4 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_toxicity, op2_pii, op3_secret_scan, op4_packing, op5_quality, op6_line_dedup, op7_decontamination, op8_nearest_vectors, op9_simhash, op10_chat_format)}
-SQL: dict[str, str] = {}
+__all__ = ["QUERIES", "SQL"]

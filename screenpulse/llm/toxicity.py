@@ -219,5 +219,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id"
             evidence.append(seen[key][1])
         return {"doc_id": ids, "score": scores, "neighbours": evidence}
 
-    scored = map_rows(found.select("doc", "terms", "counts"), one, f"doc_id {id_type}, score double, neighbours array<struct<doc_id:{id_type},label:int,cosine:double>>", schema)
+    # The vectors are small, so their table is few files: deal them out again, evenly.
+    dealt = found.select("doc", "terms", "counts").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")))
+    scored = map_rows(dealt, one, f"doc_id {id_type}, score double, neighbours array<struct<doc_id:{id_type},label:int,cosine:double>>", schema)
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", "neighbours")
