@@ -27,7 +27,10 @@ def _step(before: Column, turn: Column) -> Column:
 def conversations(turns: DataFrame, *, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text") -> DataFrame:
     """conv_id, turns (array in order), hashes (of each prefix)."""
     one = turns.select(turns[conv_col].alias("conv_id"), F.struct(turns[turn_col].alias("turn"), turns[role_col].alias("role"), turns[text_col].alias("text")).alias("t"))
-    convs = one.groupBy("conv_id").agg(F.array_sort(F.collect_list("t"), _by_turn).alias("turns"))
+    # A turn without a conversation is one by itself: that key could hold any number of rows.  Equal ones are one.
+    alone = one.where("conv_id is null").groupBy("t.role", "t.text").agg(F.min("t.turn").alias("turn"))
+    alone = alone.select(F.lit(None).cast(dict(one.dtypes)["conv_id"]).alias("conv_id"), F.array(F.struct("turn", "role", "text")).alias("turns"))
+    convs = one.where("conv_id is not null").groupBy("conv_id").agg(F.array_sort(F.collect_list("t"), _by_turn).alias("turns")).unionByName(alone)
     hashes = F.aggregate("turns", F.array(F.lit("")), lambda acc, t: F.concat(acc, F.array(_step(F.element_at(acc, -1), t))))
     return convs.select("conv_id", "turns", F.slice(hashes, 2, F.size("turns")).alias("hashes"))
 
@@ -52,12 +55,12 @@ def collapse(turns: DataFrame, **columns) -> DataFrame:
 
     Of equal conversations the one with the least id stays (null last).  Turns are ordered by turn, then role and
     text; repeated turn rows are turns.  A null role or text is its own value when compared; rendered it is "user"
-    or empty.  Turns without a conversation id are one conversation.  Empty in, empty out.
+    or empty.  Each turn without a conversation id is a conversation of its own.  Empty in, empty out.
     """
     convs = saved(conversations(turns, **columns), "conversations")
     whole = convs.select("conv_id", F.element_at("hashes", -1).alias("hash"), F.size("turns").alias("n"))
     prefixes = convs.select(F.explode(F.slice("hashes", 1, F.size("turns") - 1)).alias("p")).distinct()
     first = whole.groupBy("hash").agg(F.min(F.struct(F.col("conv_id").isNull().alias("none"), "conv_id")).alias("first"))
-    stays = first.join(prefixes, first["hash"] == prefixes["p"], "left_anti").select(F.col("first.conv_id").alias("s"))
-    kept = convs.join(stays, convs["conv_id"].eqNullSafe(stays["s"]), "left_semi")
+    stays = first.join(prefixes, first["hash"] == prefixes["p"], "left_anti").select(F.col("first.conv_id").alias("s"), F.col("hash").alias("h"))
+    kept = convs.join(stays, (F.element_at(convs["hashes"], -1) == stays["h"]) & convs["conv_id"].eqNullSafe(stays["s"]), "left_semi")
     return kept.select("conv_id", F.size("turns").cast("long").alias("n_turns"), render(F.col("turns")).alias("rendered"))

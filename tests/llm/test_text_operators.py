@@ -309,8 +309,11 @@ def test_snapshots_collapse(spark):
     t = [("user", "hi"), ("assistant", "hello"), ("user", "more"), ("assistant", None)]
     convs = {1: t[:2], 2: t, 3: t[:3], 4: t, 5: [("user", "hello")], 6: [("user", "hi"), ("assistant", "hello!")], 7: t[:1], 8: [(None, "hi")], 9: [("user", "")], 10: [("user", None)], None: t[1:2]}
     data = [(c, i, r, x, "x") for c, turns in convs.items() for i, (r, x) in enumerate(turns)]
+    data += [(None, 7, "user", "alone", "x"), (None, 8, "user", "alone", "x"), (None, 9, "user", "hi", "x")]
     df = spark.createDataFrame(data, "conv_id long, turn long, role string, text string, hashes string")
-    got = {r["conv_id"]: r for r in rows(chat.collapse(df))}
+    every = rows(chat.collapse(df))
+    assert sorted(r["rendered"].split("\n")[1] for r in every if r["conv_id"] is None) == ["alone", "hello"]
+    got = {r["conv_id"]: r for r in every}
     stays = {c for c, turns in convs.items() if not any(e != c and other[: len(turns)] == turns and (len(other) > len(turns) or (e or 99) < (c or 99)) for e, other in convs.items())}
     assert set(got) == stays == {2, 5, 6, 8, 9, 10, None}
     assert got[2]["rendered"] == "<|user|>\nhi\n<|assistant|>\nhello\n<|user|>\nmore\n<|assistant|>\n\n<|end|>"
