@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 
 #: Rows that a Python step takes from an Arrow batch at once; bounds a worker's memory, not the input.
 SLICE_ROWS = 512
+_SAVED: dict[str, list[DataFrame]] = {}
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -43,9 +44,16 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     df.write.option("compression", "zstd").parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._screenpulse_path = path
+    _SAVED.setdefault(spark.sparkContext.applicationId, []).append(out)
     return out
 
 
+def forget_all(spark: SparkSession) -> None:
+    """Delete every table that saved() wrote in this session; for when their results have been used."""
+    for df in _SAVED.pop(spark.sparkContext.applicationId, []):
+        forget(df)
+
+
 def forget(df: DataFrame) -> None:
     """Delete a table that saved() wrote, once nothing reads it any more."""
     spark, path = df.sparkSession, getattr(df, "_screenpulse_path", None)
