@@ -35,15 +35,13 @@ def _flags(df: DataFrame) -> DataFrame:
     return df.withColumns(missing).select(*FLAG_COLUMNS)
 
 
-def daily_steps(history: DataFrame, t: Thresholds = DEFAULT) -> DataFrame:
-    """Each title's change since its previous day.  All windows share one exchange and one sort by title and day."""
-    number = F.unix_date("date")
-    whole = Window.partitionBy("tid")
-    order = whole.orderBy(number)
+def _steps(history: DataFrame, t: Thresholds) -> DataFrame:
+    """daily_steps with day_no.  All windows, the later baseline's too, share one exchange and one sort by title and day."""
+    order = Window.partitionBy("tid").orderBy("day_no")
     around = order.rangeBetween(-t.launch_days, t.launch_days)
-    steps = _typed(history).select(
+    steps = _typed(history).withColumn("day_no", F.unix_date("date")).select(
         "*",
-        F.min("date").over(whole).alias("first_day"),
+        F.min("date").over(order.rowsBetween(Window.unboundedPreceding, 0)).alias("first_day"),
         F.min("votes").over(around).alias("low"), F.max("votes").over(around).alias("high"),
         F.lag("date").over(order).alias("prev_date"), F.lag("rating_x10").over(order).alias("prev_x10"), F.lag("votes").over(order).alias("prev_votes"),
     ).where("prev_date is not null")
@@ -51,7 +49,7 @@ def daily_steps(history: DataFrame, t: Thresholds = DEFAULT) -> DataFrame:
     more = F.when(grown, F.col("votes") - F.col("prev_votes"))
     gap = F.date_diff("date", "prev_date").cast("long")
     return steps.select(
-        "tid", "date", "rating_x10", "votes", "first_day",
+        "tid", "day_no", "date", "rating_x10", "votes", "first_day",
         (F.col("high") >= F.lit(t.arrival_growth) * F.least("low", "prev_votes")).alias("arriving"),
         gap.alias("gap"),
         F.try_divide((F.col("votes") - F.col("prev_votes")).cast("double"), gap.cast("double")).alias("dv"),
@@ -62,12 +60,17 @@ def daily_steps(history: DataFrame, t: Thresholds = DEFAULT) -> DataFrame:
     )
 
 
+def daily_steps(history: DataFrame, t: Thresholds = DEFAULT) -> DataFrame:
+    """Each title's change since its previous day."""
+    return _steps(history, t).drop("day_no")
+
+
 def daily_scores(history: DataFrame, t: Thresholds = DEFAULT) -> DataFrame:
     """daily_steps with base, spread and base_days of the changes before each, z and extra."""
-    prior = Window.partitionBy("tid").orderBy(F.unix_date("date")).rowsBetween(-t.baseline_days, -1)
-    scored = daily_steps(history, t).withColumn("prior", F.collect_list("dv").over(prior))
+    prior = Window.partitionBy("tid").orderBy("day_no").rowsBetween(-t.baseline_days, -1)
+    scored = _steps(history, t).withColumn("prior", F.collect_list("dv").over(prior))
     scored = scored.withColumns({"base": array_median(F.col("prior")), "spread": array_mad(F.col("prior")), "base_days": F.size("prior").cast("long")})
-    return scored.withColumns({"z": (F.col("dv") - F.col("base")) / (F.lit(1.4826) * F.col("spread") + 1), "extra": (F.col("dv") - F.col("base")) * F.col("gap")}).drop("prior")
+    return scored.withColumns({"z": (F.col("dv") - F.col("base")) / (F.lit(1.4826) * F.col("spread") + 1), "extra": (F.col("dv") - F.col("base")) * F.col("gap")}).drop("prior", "day_no")
 
 
 def daily_flags(history: DataFrame, episodes: DataFrame, t: Thresholds = DEFAULT, *, since: date | None = None, until: date | None = None) -> DataFrame:
