@@ -8,8 +8,9 @@
    ``per_class`` and ``max_terms`` - and indexed: examples in blocks, a posting list for each term with the largest
    weight of each block.
 4. Each document is a query: blocks in order of their bounds, scored exactly until no bound reaches the k-th
-   best.  Votes weigh cosine squared times the share of the label that an example stands for; a prior, the rate
-   among the sample's zero vectors, steadies them.  Neighbours are the evidence.
+   best.  Equal vectors are one example with all their labels.  Votes weigh cosine squared times the share of the
+   label that an example stands for; a prior, the rate among the sample's zero vectors, steadies them.  Neighbours are
+   the evidence.
 """
 
 from __future__ import annotations
@@ -93,14 +94,20 @@ class Model:
 
     def __init__(self, idf: list[float], examples: list[tuple[object, int, list[int], list[int]]], share: tuple[float, float], k: int):
         self.idf, self.k, self.share = np.array(idf), k, share
-        with_terms = sorted((e for e in examples if e[2]), key=lambda e: (e[2], e[3], str(e[0])))
-        zero = [e[1] for e in examples if not e[2]]
-        self.ids, self.labels = [e[0] for e in with_terms], [e[1] for e in with_terms]
-        weight = [share[y] for y in zero]
-        every = [share[e[1]] for e in examples]
-        rate = sum(share[1] for e in examples if e[1]) / sum(every) if every else 0.0
-        self.prior = (sum(share[1] for y in zero if y) + rate) / (sum(weight) + 1)
-        self.index = BlockMaxIndex([self.unit(e[2], e[3]) for e in with_terms])
+        groups: dict[tuple, list[tuple[object, int]]] = {}
+        for doc, y, terms, counts in examples:
+            groups.setdefault((tuple(terms), tuple(counts)), []).append((doc, y))
+        zero = groups.pop(((), ()), [])
+        weigh = lambda some: (math.fsum(share[y] for _, y in some if y), math.fsum(share[y] for _, y in some))
+        toxic, every = weigh([(e[0], e[1]) for e in examples])
+        rate = toxic / every if every else 0.0
+        toxic, every = weigh(zero)
+        self.prior = (toxic + rate) / (every + 1)
+        # Equal vectors are one example with all their labels: no tie between them is broken by an id.
+        keys = sorted(groups)
+        self.votes = [weigh(groups[v]) for v in keys]
+        self.shown = [(min(d for d, _ in groups[v]), len(groups[v]), sum(y for _, y in groups[v])) for v in keys]
+        self.index = BlockMaxIndex([self.unit(*v) for v in keys])
 
     def unit(self, terms: list[int], counts: list[int]) -> dict[int, float]:
         w = {t: (1 + math.log(c)) * float(self.idf[t]) for t, c in zip(terms, counts, strict=True)}
@@ -111,9 +118,9 @@ class Model:
         if not terms:
             return self.prior, []
         near, _ = self.index.search(self.unit(terms, counts), self.k)
-        votes = [(c * c * self.share[self.labels[e]], self.labels[e]) for e, c in near]
-        total = math.fsum(w for w, _ in votes) + PRIOR_WEIGHT
-        return (math.fsum(w for w, y in votes if y) + PRIOR_WEIGHT * self.prior) / total, near
+        toxic = math.fsum(c * c * self.votes[e][0] for e, c in near)
+        every = math.fsum(c * c * self.votes[e][1] for e, c in near)
+        return (toxic + PRIOR_WEIGHT * self.prior) / (every + PRIOR_WEIGHT), near
 
 
 def _labelled(labels: DataFrame, id_col: str, label_col: str) -> DataFrame:
@@ -181,11 +188,13 @@ def vectors(docs: DataFrame, vocab: list[str]) -> DataFrame:
 
 
 def score_toxicity(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", per_class: int = PER_CLASS, max_terms: int = MAX_TERMS, k: int = NEIGHBOURS) -> DataFrame:
-    """A row for each document row: doc_id, held_out, score (0 to 1), neighbours (array of doc_id, label, cosine).
+    """A row for each document row: doc_id, held_out, score (0 to 1), neighbours (array of doc_id, cosine, n, n_toxic).
+
+    neighbours: the nearest distinct vectors of the sample, each with its least doc_id, its examples and those labelled 1.
 
     A null, empty or termless text scores the rate of label 1 among the sample's zero vectors.  Without usable
     labels every score is 0.  A document labelled more than once counts by its largest label.  Equal texts score
-    the same; neighbours tie by example order.  A null id is never held out.
+    the same; neighbours tie by their vectors.  A null id is never held out.
     """
     spark = docs.sparkSession
     id_type = "string" if dict(docs.dtypes)[id_col] == "string" else "long"
@@ -205,7 +214,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id"
     share = (share[0] / mean, share[1] / mean) if mean else (0.0, 0.0)
     model = spark.sparkContext.broadcast(Model(idf, examples, share, k))
     arrow = pa.string() if id_type == "string" else pa.int64()
-    near = pa.struct([("doc_id", arrow), ("label", pa.int32()), ("cosine", pa.float64())])
+    near = pa.struct([("doc_id", arrow), ("cosine", pa.float64()), ("n", pa.int32()), ("n_toxic", pa.int32())])
     schema = pa.schema([("doc_id", arrow), ("score", pa.float64()), ("neighbours", pa.list_(near))])
 
     def one(ids: list, terms: list, counts: list) -> dict[str, list]:
@@ -214,12 +223,12 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id"
             key = (tuple(t), tuple(c))
             if key not in seen:
                 s, got = m.score(t, c)
-                seen[key] = s, [{"doc_id": m.ids[e], "label": m.labels[e], "cosine": x} for e, x in got]
+                seen[key] = s, [dict(zip(("doc_id", "n", "n_toxic"), m.shown[e], strict=True), cosine=x) for e, x in got]
             scores.append(seen[key][0])
             evidence.append(seen[key][1])
         return {"doc_id": ids, "score": scores, "neighbours": evidence}
 
     # The vectors are small, so their table is few files: deal them out again, evenly.
     dealt = found.select("doc", "terms", "counts").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")))
-    scored = map_rows(dealt, one, f"doc_id {id_type}, score double, neighbours array<struct<doc_id:{id_type},label:int,cosine:double>>", schema)
+    scored = map_rows(dealt, one, f"doc_id {id_type}, score double, neighbours array<struct<doc_id:{id_type},cosine:double,n:int,n_toxic:int>>", schema)
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", "neighbours")
