@@ -14,11 +14,13 @@ from __future__ import annotations
 import math
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark import Broadcast
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_rows, rows_with_key, saved, text_key
+from .common import map_rows, saved, text_key
 from .toxicity import sample
 
 PER_CLASS = 4000
@@ -82,6 +84,9 @@ class Logistic:
             return np.full(len(x), 0.5)
         return 1 / (1 + np.exp(-np.clip(self.design(x) @ self.beta, -30, 30)))
 
+    def of(self, texts: list[str | None]) -> np.ndarray:
+        return self.probability(np.array([features(t) for t in texts]).reshape(len(texts), len(FEATURES)))
+
 
 def fit(docs: DataFrame, labels: DataFrame, *, id_col: str, text_col: str, label_col: str, per_class: int) -> Logistic:
     """docs' texts are only read for the sample, whose features (at most 2 * per_class rows) are gathered."""
@@ -133,37 +138,55 @@ def site_posteriors(evidence: DataFrame) -> DataFrame:
     return both.select("host", "path", F.lit(mean).alias("corpus"), "host_posterior", shrunk("n", "s", F.col("host_posterior"), by_path).alias("path_posterior"))
 
 
-def score_quality(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", path_cols: tuple[str, ...] = ("lang",), label_col: str = "quality", per_class: int = PER_CLASS, threshold: float = THRESHOLD) -> DataFrame:
-    """A row for each document row: doc_id, k_text, evidence, host_posterior, path_posterior, score, keep.
-
-    Null hosts or paths are sites of their own.  Null and empty texts have all features 0.  Without both labels the
-    evidence is 0.5 throughout.  Labels of held-out ids are not learnt from.  Equal rows score the same.
-    """
-    spark = docs.sparkSession
+def _sites(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, host_col: str, path_cols: tuple[str, ...], label_col: str, per_class: int) -> tuple[Broadcast, DataFrame, DataFrame, Column, Column]:
+    """(the model, each row's evidence, site posteriors, a row's host, its path)."""
     id_type = "string" if dict(docs.dtypes)[id_col] == "string" else "long"
-    model = spark.sparkContext.broadcast(fit(docs, labels, id_col=id_col, text_col=text_col, label_col=label_col, per_class=per_class))
+    model = docs.sparkSession.sparkContext.broadcast(fit(docs, labels, id_col=id_col, text_col=text_col, label_col=label_col, per_class=per_class))
     arrow = pa.string() if id_type == "string" else pa.int64()
     schema = pa.schema([("doc_id", arrow), ("k_text", pa.int64()), ("host", pa.string()), ("path", pa.string()), ("p", pa.float64())])
 
     def one(ids: list, keys: list, hosts: list, paths: list, texts: list) -> dict[str, list]:
-        return {"doc_id": ids, "k_text": keys, "host": hosts, "path": paths, "p": model.value.probability(np.array([features(t) for t in texts]))}
+        return {"doc_id": ids, "k_text": keys, "host": hosts, "path": paths, "p": model.value.of(texts)}
 
+    host = docs[host_col].cast("string")
     path = F.to_json(F.array(*[docs[c].cast("string") for c in path_cols])) if path_cols else F.lit("")
-    columns = docs.select(docs[id_col].cast(id_type), text_key(docs[text_col]), docs[host_col].cast("string"), path, docs[text_col])
+    columns = docs.select(docs[id_col].cast(id_type), text_key(docs[text_col]), host, path, docs[text_col])
     scored = saved(map_rows(columns, one, f"doc_id {id_type}, k_text long, host string, path string, p double", schema), "evidence")
     sites = site_posteriors(scored).withColumnRenamed("host", "s_host").withColumnRenamed("path", "s_path")
-    joined = scored.join(sites, scored["host"].eqNullSafe(sites["s_host"]) & (scored["path"] == sites["s_path"]))
+    return model, scored, saved(sites, "sites"), host, path
+
+
+def _score(p: Column) -> Column:
+    """Evidence moved by its path's posterior against the corpus."""
     clip = lambda c: F.least(F.greatest(c, F.lit(1e-6)), F.lit(1 - 1e-6))
     logit = lambda c: F.log(clip(c) / (1 - clip(c)))
-    odds = logit(F.col("p")) + SITE_WEIGHT * (logit(F.col("path_posterior")) - logit(F.col("corpus")))
-    score = 1 / (1 + F.exp(-odds))
+    return 1 / (1 + F.exp(-(logit(p) + SITE_WEIGHT * (logit(F.col("path_posterior")) - logit(F.col("corpus"))))))
+
+
+def score_quality(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", path_cols: tuple[str, ...] = ("lang",), label_col: str = "quality", per_class: int = PER_CLASS, threshold: float = THRESHOLD) -> DataFrame:
+    """A row for each document row: doc_id, k_text, evidence, host_posterior, path_posterior, score, keep.
+
+    Null hosts or paths are sites of their own.  Null and empty texts have all features 0.  Without both labels the
+    evidence is 0.5 throughout.  Labels of held-out ids are not learnt from.  Equal rows score the same.
+    """
+    _, scored, sites, _, _ = _sites(docs, labels, id_col, text_col, host_col, path_cols, label_col, per_class)
+    joined = scored.join(sites, scored["host"].eqNullSafe(sites["s_host"]) & (scored["path"] == sites["s_path"]))
+    score = _score(F.col("p"))
     return joined.select("doc_id", "k_text", F.col("p").alias("evidence"), "host_posterior", "path_posterior", score.alias("score"), (score >= threshold).alias("keep"))
 
 
-def drop_low_quality(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """The documents that pass, all their columns.  Rejected keys are anti-joined: they are the minority."""
-    found = score_quality(docs, labels, id_col=id_col, text_col=text_col, **options).where("not keep")
-    found = saved(found.select(F.col("doc_id").alias("r_id"), F.col("k_text").alias("r_text")), "rejected")
-    keyed = rows_with_key(docs, id_col, text_col)
-    id_type = "string" if dict(docs.dtypes)[id_col] == "string" else "long"
-    return keyed.join(found, keyed["k_id"].cast(id_type).eqNullSafe(found["r_id"]) & (keyed["k_text"] == found["r_text"]), "left_anti").select("row.*")
+def drop_low_quality(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", path_cols: tuple[str, ...] = ("lang",), label_col: str = "quality", per_class: int = PER_CLASS, threshold: float = THRESHOLD) -> DataFrame:
+    """The documents that pass, all their columns.
+
+    A document's evidence is worked out again where its row is and meets its site's posterior there, so that no text is
+    dealt out: sites are a row for each path, which Spark broadcasts while they are under its threshold.
+    """
+    model, _, sites, host, path = _sites(docs, labels, id_col, text_col, host_col, path_cols, label_col, per_class)
+
+    @F.pandas_udf("double")
+    def evidence(texts: pd.Series) -> pd.Series:
+        return pd.Series(model.value.of(texts.tolist()))
+
+    rows = docs.select(F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("row"), host.alias("host"), path.alias("path"), evidence(docs[text_col]).alias("p"))
+    joined = rows.join(sites, rows["host"].eqNullSafe(sites["s_host"]) & (rows["path"] == sites["s_path"]))
+    return joined.where(_score(F.col("p")) >= threshold).select("row.*")
