@@ -1,13 +1,15 @@
 """Approximate nearest neighbours with a permutation index.
 
-1. Pivots: ``pivots`` of the usable vectors, least hash first - the only sample, of a stated size.
+1. Pivots: of a sample of ``spread`` usable vectors for each pivot, least hash first, those farthest from the ones
+   chosen before - the only sample, of a stated size.  A group of near copies thus gets few pivots, however large.
 2. Each vector is its ``prefix`` nearest pivots in order.  For the inner product, vectors get one more component
    that makes all norms equal (queries get 0), so nearness to pivots orders as the inner product does.
 3. Inverted files: for each pivot the place it has in each vector's list.  A block of vectors has its own files, built
    in the task that reads the block; every vector is posted.
 4. Footrule: a shared pivot at places a and b brings two lists 2*(prefix - max(a, b)) nearer than lists that share
    none; summed over the files of a query's pivots it ranks the block.  The nearest ``share`` of the block plus
-   ``least`` are reranked with the exact inner product in double precision.
+   ``least`` are reranked with the exact inner product in double precision, then as many again, until such a step
+   has nothing for the best k: a query whose list tells little apart reads up to the whole block.
 5. The best k of each block meet in one top-k a query.
 
 Queries come in blocks of ``query_block``, broadcast one at a time, against all vectors.  Equal vectors of a block are
@@ -31,6 +33,7 @@ PIVOTS = 256
 PREFIX = 64
 SHARE = 0.1
 LEAST = 200
+SPREAD = 16
 QUERY_BLOCK = 20_000
 VECTOR_BLOCK = 8_192
 
@@ -56,23 +59,27 @@ class Block:
         self.files = np.full((len(pivots), len(first)), prefix, np.uint8)
         self.files[lists.ravel(), np.repeat(np.arange(len(first)), lists.shape[1])] = np.tile(np.arange(lists.shape[1], dtype=np.uint8), len(first))
 
-    def near(self, pivots: np.ndarray, n: int) -> np.ndarray:
-        """The n vectors with the least footrule distance, ties by number."""
-        if n >= len(self.v):
-            return np.arange(len(self.v))
+    def ranked(self, pivots: np.ndarray) -> np.ndarray:
+        """All vectors by footrule distance, ties by number."""
         rows = self.files[pivots]
         np.maximum(rows, np.arange(len(pivots), dtype=np.uint8)[:, None], out=rows)
-        far = rows.sum(axis=0, dtype=np.int64) * len(self.v) + np.arange(len(self.v))
-        return np.argpartition(far, n - 1)[:n]
+        return np.argsort(rows.sum(axis=0, dtype=np.uint16), kind="stable")  # at most 255 places of 255 pivots
 
     def best(self, own: int, q: np.ndarray, pivots: np.ndarray, n: int, k: int) -> tuple[np.ndarray, np.ndarray]:
-        some = np.sort(self.near(pivots, n))
-        score = (self.v[some] * q).sum(axis=1)
-        if len(some) > k + 1:
-            # all that tie with the last stay
-            score_least = np.partition(score, len(score) - k - 1)[len(score) - k - 1]
-            keep = score >= score_least
-            some, score = some[keep], score[keep]
+        order = self.ranked(pivots) if n < len(self.v) else np.arange(len(self.v))
+        some, score, score_least = order[:0], np.zeros(0), -math.inf
+        for at in range(0, len(order), n):
+            step = np.sort(order[at : at + n])
+            got = (self.v[step] * q).sum(axis=1)
+            better = got >= score_least
+            if not better.any():
+                break
+            some, score = np.r_[some, step[better]], np.r_[score, got[better]]
+            if len(some) > k:
+                # all that tie with the last stay
+                score_least = np.partition(score, len(score) - k - 1)[len(score) - k - 1]
+                keep = score >= score_least
+                some, score = some[keep], score[keep]
         sizes = np.minimum(self.bounds[some + 1] - self.bounds[some], k + 1)  # the smallest ids of equal vectors
         at = np.repeat(self.bounds[some] - np.r_[0, np.cumsum(sizes)[:-1]], sizes) + np.arange(sizes.sum())
         ids, score = self.ids[self.members[at]], np.repeat(score, sizes)
@@ -85,6 +92,18 @@ def top(ids: np.ndarray, score: np.ndarray, k: int) -> tuple[np.ndarray, np.ndar
     return ids[order], score[order]
 
 
+def far_apart(v: np.ndarray, n: int) -> np.ndarray:
+    """n of the vectors, all of one norm: each the one whose nearest vector chosen before is farthest."""
+    v = np.unique(v, axis=0)
+    at = [0]
+    near = v @ v[0]
+    while len(at) < min(n, len(v)):
+        near[at[-1]] = math.inf
+        at.append(int(near.argmin()))
+        near = np.maximum(near, v @ v[at[-1]])
+    return v[at]
+
+
 def augmented(v: np.ndarray, norm: float) -> np.ndarray:
     return np.c_[v, np.sqrt(np.maximum(norm * norm - (v * v).sum(axis=1), 0))]
 
@@ -94,7 +113,7 @@ def orders(v: np.ndarray, pivots: np.ndarray, prefix: int) -> np.ndarray:
     return np.argsort(-(v @ pivots.T), axis=1, kind="stable")[:, :prefix]
 
 
-def nearest(vectors: DataFrame, is_query: Column, *, id_col: str = "vec_id", vec_col: str = "embedding", k: int = K, pivots: int = PIVOTS, prefix: int = PREFIX, share: float = SHARE, least: int = LEAST, query_block: int = QUERY_BLOCK) -> DataFrame:
+def nearest(vectors: DataFrame, is_query: Column, *, id_col: str = "vec_id", vec_col: str = "embedding", k: int = K, pivots: int = PIVOTS, prefix: int = PREFIX, share: float = SHARE, least: int = LEAST, spread: int = SPREAD, query_block: int = QUERY_BLOCK) -> DataFrame:
     """query_id, rank (from 1), vec_id, score: the k vectors with the largest inner product found for each query.
 
     is_query: a condition on the id column, named "id".  Null, zero and non-finite vectors, rows without an id and
@@ -111,8 +130,8 @@ def nearest(vectors: DataFrame, is_query: Column, *, id_col: str = "vec_id", vec
     if sizes is None:
         return spark.createDataFrame([], empty)
     rows, norm, d = rows.where(F.size("v") == sizes["d"]), math.sqrt(sizes["norm2"]), sizes["d"]
-    chosen = np.array([r["v"] for r in rows.orderBy(F.xxhash64("id", "v"), "id").limit(pivots).collect()])
-    pivot = augmented(np.unique(chosen, axis=0), norm)
+    chosen = np.array([r["v"] for r in rows.orderBy(F.xxhash64("id", "v"), "id").limit(pivots * spread).collect()])
+    pivot = far_apart(augmented(chosen, norm), pivots)
     prefix = min(prefix, len(pivot))
     queries = rows.where(is_query).groupBy("id").agg(F.min("v").alias("v"))
     blocks = max(1, -(-queries.count() // query_block))

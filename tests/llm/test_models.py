@@ -130,3 +130,22 @@ def test_vectors_that_take_no_part_and_ties(spark):
     assert [(r["query_id"], r["rank"]) for r in rows(few)] == [(0, 1), (0, 2)]
     blocks = ann.nearest(df, F.col("id") % 20 == 0, share=1.0, query_block=1)
     assert {(r["query_id"], r["vec_id"]) for r in rows(blocks)} == {(q, i) for q, x in want.items() for i, _ in x}
+
+
+@pytest.mark.parametrize("noise", [0.01, 0.3])
+def test_recall_with_a_third_of_near_copies(spark, noise):
+    rng = np.random.default_rng(1)
+    v = rng.standard_normal((10_256, 64))
+    v /= np.linalg.norm(v, axis=1)[:, None]
+    hot = rng.random(len(v)) < 1 / 3
+    v[hot] = v[0] + noise / 8 * rng.standard_normal((hot.sum(), 64))
+    ids = np.arange(len(v))
+    want = ann.brute_force(ids, v, ids[ids % 40 == 0], 20)
+    df = spark.createDataFrame([(int(i), x.tolist()) for i, x in zip(ids, v, strict=True)], "vec_id long, embedding array<double>").coalesce(1)
+    got: dict[int, set] = {}
+    for r in rows(ann.nearest(df, F.col("id") % 40 == 0)):
+        got.setdefault(r["query_id"], set()).add(r["vec_id"])
+    recall = {q: len(got[q] & {i for i, _ in want[q]}) / 20 for q in want}
+    for group in (True, False):
+        assert np.mean([x for q, x in recall.items() if hot[q] == group]) >= 0.95
+    assert min(recall.values()) >= 0.5
