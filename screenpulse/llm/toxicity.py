@@ -1,11 +1,11 @@
 """Toxicity by nearest labelled examples: exact TF-IDF cosine over a block-max inverted index.
 
-1. A bounded sample of labelled documents (``per_class`` of each label, least hash first) picks the vocabulary: terms
-   whose log-odds between the labels are significant.  Every other term has weight zero, so a document without any
-   of them is the zero vector.
+1. A bounded sample of labelled documents (``per_class`` of each label, least hash first) gives the vocabulary: all its
+   terms.  TF-IDF is multiplied by how well a term tells the labels apart, the root of its G (likelihood ratio against
+   independence) times its log-odds, so that rare and weak terms count little but none is dropped.
 2. One scan over all whole texts writes each document's sparse vector (term numbers and counts).
 3. Document frequencies are counted over all documents.  The sample's vectors are gathered - bounded by
-   ``per_class`` and ``max_terms`` - and indexed: examples in blocks, a posting list for each term with the largest
+   ``per_class`` - and indexed: examples in blocks, a posting list for each term with the largest
    weight of each block.
 4. Each document is a query: blocks in order of their bounds, scored exactly until no bound reaches the k-th
    best.  Equal vectors are one example with all their labels.  Votes weigh cosine squared times the share of the
@@ -28,14 +28,11 @@ from pyspark.sql import functions as F
 from .common import map_rows, saved, slices, text_key
 
 PER_CLASS = 4000
-MAX_TERMS = 2000
 NEIGHBOURS = 25
 BLOCK = 64
 THRESHOLD = 0.7
 #: Weight of the prior against votes.
 PRIOR_WEIGHT = 0.1
-#: Least likelihood ratio (G) of a term against independence, least log-odds, and documents of the sample that hold it.
-LEAST_G, LEAST_ODDS, MIN_DOCS = 25.0, math.log(3), 5
 
 _TERM = re.compile(r"[^\W\d_]+")
 
@@ -49,48 +46,66 @@ def held_out(id_col: Column) -> Column:
     return F.coalesce(F.pmod(F.crc32(id_col.cast("string").cast("binary")), F.lit(3)) == 1, F.lit(False))
 
 
+def _spans(first: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """The numbers from each first up to its end, one span after the other."""
+    n = end - first
+    return np.repeat(first - np.cumsum(n) + n, n) + np.arange(n.sum())
+
+
 class BlockMaxIndex:
     """Exact top-k cosine over sparse unit vectors.  Ties go to the smaller example number."""
 
     def __init__(self, vectors: list[dict[int, float]], block: int = BLOCK):
         self.n, self.block = len(vectors), block
-        by_term: dict[int, list[tuple[int, float]]] = {}
-        for e, v in enumerate(vectors):
-            for t, w in v.items():
-                by_term.setdefault(t, []).append((e, w))
-        #: term -> (blocks, first posting of each block and the end, block maxima, examples, weights)
-        self.lists = {}
-        for t, postings in by_term.items():
-            example, weight = np.array([p[0] for p in postings]), np.array([p[1] for p in postings])
-            blocks, first = np.unique(example // block, return_index=True)
-            self.lists[t] = blocks, np.r_[first, len(example)], np.maximum.reduceat(weight, first), example, weight
+        sizes = [len(v) for v in vectors]
+        term = np.fromiter((t for v in vectors for t in v), np.int64, sum(sizes))
+        weight = np.fromiter((w for v in vectors for w in v.values()), np.float64, sum(sizes))
+        order = np.argsort(term, kind="stable")
+        term, self.example, self.weight = term[order], np.repeat(np.arange(self.n), sizes)[order], weight[order]
+        at = self.example // block
+        # A list for each term, of entries for its blocks: block, first posting, largest weight.
+        first = np.flatnonzero(np.r_[True, (term[1:] != term[:-1]) | (at[1:] != at[:-1])]) if len(term) else np.zeros(0, np.int64)
+        self.first, self.blocks = np.r_[first, len(term)], at[first]
+        self.top = np.maximum.reduceat(self.weight, first) if len(term) else np.zeros(0)
+        self.terms, lists = np.unique(term[first], return_index=True)
+        self.lists = np.r_[lists, len(first)]
 
     def search(self, query: dict[int, float], k: int) -> tuple[list[tuple[int, float]], int]:
         """([(example, cosine)] best first, blocks scored); only examples that share a term."""
-        bounds = np.zeros(-(-self.n // self.block) if self.n else 0)
-        lists = [(w, self.lists[t]) for t, w in query.items() if t in self.lists]
-        for w, (blocks, _, top, _, _) in lists:
-            bounds[blocks] += w * top
+        term, w = np.fromiter(query.keys(), np.int64, len(query)), np.fromiter(query.values(), np.float64, len(query))
+        i = np.searchsorted(self.terms, term)
+        known = i < len(self.terms)
+        known[known] = self.terms[i[known]] == term[known]
+        i, w = i[known], w[known]
+        entry, weight = _spans(self.lists[i], self.lists[i + 1]), np.repeat(w, self.lists[i + 1] - self.lists[i])
+        n = -(-self.n // self.block)
+        bounds = np.bincount(self.blocks[entry], weight * self.top[entry], minlength=n)
+        by_block = np.argsort(self.blocks[entry], kind="stable")
+        entry, weight = entry[by_block], weight[by_block]
+        at = np.searchsorted(self.blocks[entry], np.arange(n + 1))
         order = np.argsort(-bounds, kind="stable")
-        best: list[tuple[float, int]] = []
-        scored = 0
-        for b in order.tolist():
-            if bounds[b] <= 0 or len(best) == k and bounds[b] * (1 + 1e-12) < best[-1][0]:
+        order = order[bounds[order] > 0]
+        found, best, scored, step = np.zeros(0, np.int64), np.zeros(0), 0, 1
+        while scored < len(order):
+            some = order[scored : scored + step]
+            if len(best) == k:
+                some = some[bounds[some] * (1 + 1e-12) >= best[-1]]
+            if not len(some):
                 break
-            scored += 1
-            score = np.zeros(self.block)
-            for w, (blocks, first, _, example, weight) in lists:
-                i = int(np.searchsorted(blocks, b))
-                if i < len(blocks) and blocks[i] == b:
-                    a, z = first[i], first[i + 1]
-                    score[example[a:z] - b * self.block] += w * weight[a:z]
-            best += [(float(score[j]), b * self.block + j) for j in np.flatnonzero(score > 0).tolist()]
-            best = sorted(best, key=lambda x: (-x[0], x[1]))[:k]
-        return [(e, s) for s, e in best], scored
+            scored, step = scored + len(some), 2 * step
+            mine = _spans(at[some], at[some + 1])
+            e = entry[mine]
+            posting = _spans(self.first[e], self.first[e + 1])
+            score = np.bincount(self.example[posting], np.repeat(weight[mine], self.first[e + 1] - self.first[e]) * self.weight[posting], minlength=self.n)
+            hit = np.flatnonzero(score > 0)
+            found, best = np.r_[found, hit], np.r_[best, score[hit]]
+            top = np.lexsort((found, -best))[:k]
+            found, best = found[top], best[top]
+        return list(zip(found.tolist(), best.tolist(), strict=True)), scored
 
 
 class Model:
-    """Vocabulary, idf, examples and their index; bounded by per_class and max_terms."""
+    """Vocabulary, idf, examples and their index; bounded by per_class."""
 
     def __init__(self, idf: list[float], examples: list[tuple[object, int, list[int], list[int]]], share: tuple[float, float], k: int):
         self.idf, self.k, self.share = np.array(idf), k, share
@@ -137,8 +152,8 @@ def sample(labels: DataFrame, per_class: int, *, id_col: str = "doc_id", label_c
     return saved(some[0].unionByName(some[1]), "sample"), (count.get(0, 0), count.get(1, 0))
 
 
-def vocabulary(docs: DataFrame, chosen: DataFrame, max_terms: int) -> list[str]:
-    """Terms that tell the labels apart; docs: doc, text.  chosen has a stated bound, so it can be broadcast."""
+def vocabulary(docs: DataFrame, chosen: DataFrame) -> dict[str, float]:
+    """All terms of the sample with their weights, in order; docs: doc, text.  A weight of 0 is left out.  chosen has a stated bound, so it can be broadcast."""
     both = docs.join(F.broadcast(chosen), docs["doc"] == chosen["doc"]).select(chosen["y"], "text")
     schema = pa.schema([("term", pa.string()), ("y", pa.int64()), ("n", pa.int64())])
 
@@ -156,7 +171,7 @@ def vocabulary(docs: DataFrame, chosen: DataFrame, max_terms: int) -> list[str]:
     counts = saved(both.mapInArrow(count, "term string, y long, n long").groupBy("term").agg(of(0).alias("c0"), of(1).alias("c1")), "terms")
     total = counts.where("term is null").first()
     if total is None:
-        return []
+        return {}
     n0, n1 = total["c0"], total["c1"]
     a, c = F.col("c1"), F.col("c0")
     b, d = F.lit(n1) - a, F.lit(n0) - c
@@ -164,21 +179,20 @@ def vocabulary(docs: DataFrame, chosen: DataFrame, max_terms: int) -> list[str]:
     part = lambda seen, row, column: F.when(seen > 0, seen * F.log(seen * n / (row * column))).otherwise(0.0)
     g = 2 * (part(a, a + c, F.lit(n1)) + part(c, a + c, F.lit(n0)) + part(b, b + d, F.lit(n1)) + part(d, b + d, F.lit(n0)))
     odds = F.log((a + 0.5) / (b + 0.5)) - F.log((c + 0.5) / (d + 0.5))
-    told = counts.where(F.col("term").isNotNull() & (a + c >= MIN_DOCS)).withColumn("strong", g).where((F.col("strong") >= LEAST_G) & (F.abs(odds) >= LEAST_ODDS))
-    return sorted(r["term"] for r in told.orderBy(F.desc("strong"), "term").limit(max_terms).collect())
+    told = counts.where(F.col("term").isNotNull()).select("term", (F.sqrt(F.greatest(g, F.lit(0.0))) * F.abs(odds)).alias("weight")).where("weight > 0").orderBy("term").toArrow()
+    return dict(zip(told["term"].to_pylist(), told["weight"].to_pylist(), strict=True))
 
 
-def vectors(docs: DataFrame, vocab: list[str]) -> DataFrame:
+def vectors(docs: DataFrame, vocab: dict[str, float]) -> DataFrame:
     """docs: doc, text.  doc, k_text, terms, counts: of each document row, terms ascending."""
-    number = {t: i for i, t in enumerate(vocab)}
-    known = frozenset(vocab)
+    shared = docs.sparkSession.sparkContext.broadcast({t: i for i, t in enumerate(vocab)})
     id_type = dict(docs.dtypes)["doc"]
     arrow = pa.string() if id_type == "string" else pa.int64()
     schema = pa.schema([("doc", arrow), ("k_text", pa.int64()), ("terms", pa.list_(pa.int32())), ("counts", pa.list_(pa.int32()))])
     def one(ids: list, keys: list, texts: list) -> dict[str, list]:
-        terms, counts = [], []
+        number, terms, counts = shared.value, [], []
         for text in texts:
-            got = Counter(filter(known.__contains__, terms_of(text)))
+            got = Counter(filter(number.__contains__, terms_of(text)))
             v = sorted((number[t], n) for t, n in got.items())
             terms.append([t for t, _ in v])
             counts.append([n for _, n in v])
@@ -187,7 +201,7 @@ def vectors(docs: DataFrame, vocab: list[str]) -> DataFrame:
     return map_rows(docs.select("doc", text_key("text"), "text"), one, f"doc {id_type}, k_text long, terms array<int>, counts array<int>", schema)
 
 
-def score_toxicity(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", per_class: int = PER_CLASS, max_terms: int = MAX_TERMS, k: int = NEIGHBOURS) -> DataFrame:
+def score_toxicity(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", per_class: int = PER_CLASS, k: int = NEIGHBOURS) -> DataFrame:
     """A row for each document row: doc_id, held_out, score (0 to 1), neighbours (array of doc_id, cosine, n, n_toxic).
 
     neighbours: the nearest distinct vectors of the sample, each with its least doc_id, its examples and those labelled 1.
@@ -200,11 +214,12 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id"
     id_type = "string" if dict(docs.dtypes)[id_col] == "string" else "long"
     texts = docs.select(docs[id_col].cast(id_type).alias("doc"), docs[text_col].alias("text"))
     chosen, (all0, all1) = sample(labels.withColumn(id_col, F.col(id_col).cast(id_type)), per_class, id_col=id_col, label_col=label_col)
-    vocab = vocabulary(texts, chosen, max_terms)
+    vocab = vocabulary(texts, chosen)
     found = saved(vectors(texts, vocab), "vectors")
     n = found.count()
-    df = {r["t"]: r["count"] for r in found.select(F.explode("terms").alias("t")).groupBy("t").count().collect()}  # at most max_terms rows
-    idf = [math.log((1 + n) / (1 + df.get(i, 0))) + 1 for i in range(len(vocab))]
+    df = found.select(F.explode("terms").alias("t")).groupBy("t").count().toArrow()  # at most a row for each term of the sample
+    df = dict(zip(df["t"].to_pylist(), df["count"].to_pylist(), strict=True))
+    idf = [(math.log((1 + n) / (1 + df.get(i, 0))) + 1) * w for i, w in enumerate(vocab.values())]
     mine = found.join(F.broadcast(chosen), found["doc"] == chosen["doc"]).select(chosen["doc"], "k_text", "y", "terms", "counts")
     mine = mine.groupBy("doc").agg(F.min(F.struct("k_text", "y", "terms", "counts")).alias("m")).select("doc", "m.y", "m.terms", "m.counts")
     examples = [tuple(r) for r in mine.collect()]

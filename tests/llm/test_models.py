@@ -58,6 +58,16 @@ def test_toxicity_on_held_out_documents(spark):
     assert order / len(toxic) / len(clean) > 0.9
 
 
+def test_rare_terms_of_a_small_sample_have_weight(spark):
+    texts = [f"plain words{chr(97 + i % 20)} here" for i in range(40)] + ["plain vileword here", "plain foulword here"]
+    docs = spark.createDataFrame(list(enumerate(texts)) + [(100, "vileword"), (101, "foulword")], "doc_id long, text string")
+    train = [i for i in range(42) if zlib.crc32(str(i).encode()) % 3 != 1]
+    labels = spark.createDataFrame([(i, int(i >= 40)) for i in train], "doc_id long, toxic int")
+    got = {r["doc_id"]: r for r in rows(toxicity.score_toxicity(docs, labels))}
+    toxic = [i for i in train if i >= 40]
+    assert toxic and all([n["doc_id"] for n in got[60 + i]["neighbours"]] == [i] and got[60 + i]["score"] > 0.9 for i in toxic)
+
+
 def test_toxicity_odd_rows(spark, odd, none):
     labels = spark.createDataFrame([(i, i % 2, "x") for i in (4, 6, 7, 10, 20)] + [(4, 1, "x"), (None, 1, "x"), (5, None, "x")], "doc_id long, toxic int, text string")
     got = rows(toxicity.score_toxicity(odd, labels))
