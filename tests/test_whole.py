@@ -20,3 +20,13 @@ def test_every_user_has_a_place_in_a_season():
     assert asked("WITH " + fx.duck(fx.ALL_SEASONS) + "SELECT count(DISTINCT tid), count(DISTINCT tid) FILTER (WHERE tid < 10000000) FROM hist") == [(sum(users), users[0])]
     names = [n for n in oracle.SQL if n.endswith("_all_users")]
     assert names and all("user_id < 150" not in oracle.SQL[n] for n in names)
+
+
+def test_history_reads_all_orders():
+    days = asked("SELECT count(DISTINCT CAST(o_orderdate AS DATE)), min(CAST(o_orderdate AS DATE)), max(CAST(o_orderdate AS DATE)) FROM orders")
+    assert asked(oracle.SQL["history_span_all_orders"]) == days
+
+
+def test_gaps_of_a_small_history(spark):
+    days = spark.sql("SELECT explode(array(DATE '2024-01-01', DATE '2024-01-04', DATE '2024-01-08')) AS date")
+    assert [tuple(map(str, r)) for r in oracle.store.gaps(days).collect()] == [("2024-01-04", "2024-01-08")]
