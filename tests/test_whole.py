@@ -30,3 +30,8 @@ def test_history_reads_all_orders():
 def test_gaps_of_a_small_history(spark):
     days = spark.sql("SELECT explode(array(DATE '2024-01-01', DATE '2024-01-04', DATE '2024-01-08')) AS date")
     assert [tuple(map(str, r)) for r in oracle.store.gaps(days).collect()] == [("2024-01-04", "2024-01-08")]
+
+
+def test_every_event_has_a_rank(spark):
+    got = sorted(r["rank"] for r in oracle.QUERIES["event_ranking_all_users"](spark, TENTH).collect())
+    assert got == list(range(1, len(got) + 1)) and len(got) == asked("SELECT count(*) FROM (" + oracle.SQL["event_groups_all_users"] + ")")[0][0] > 50
