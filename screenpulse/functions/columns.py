@@ -11,18 +11,20 @@ from pyspark.sql import functions as F
 _NUMBER = r"^\s*[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?\s*$"
 
 
-def array_median(values: Column) -> Column:
-    """Median of an array without nulls, the mean of the middle two if even; null if empty."""
-    ordered, n = F.array_sort(values), F.size(values)
-    low = F.element_at(ordered, F.floor((n + 1) / 2).cast("int"))
-    high = F.element_at(ordered, F.floor(n / 2).cast("int") + 1)
-    return F.when(n > 0, (low + high) / 2)
-
-
-def array_mad(values: Column) -> Column:
-    """Median absolute deviation from the median."""
-    middle = array_median(values)
-    return array_median(F.transform(values, lambda x: F.abs(x - middle)))
+def array_median(values: Column, n: Column | None = None) -> Column:
+    """Median of an array without nulls, the mean of the middle two if even; null if empty.
+
+    `values` is sorted once: the middle is one slice of it.  Give n, its size, where it is known otherwise.
+    """
+    n = F.size(values) if n is None else n
+    many = F.when(n % 2 == 0, 2).otherwise(1)
+    middle = F.slice(F.sort_array(values), F.floor((n + 1) / 2).cast("int"), many)
+    return F.when(n > 0, F.aggregate(middle, F.lit(0.0), lambda total, x: total + x) / many)
+
+
+def array_mad(values: Column, middle: Column, n: Column | None = None) -> Column:
+    """Median absolute deviation from `middle`, which must be a column of its own: it is read for every element."""
+    return array_median(F.transform(values, lambda x: F.abs(x - middle)), F.size(values) if n is None else n)
 
 
 def tolerant_double(text: Column) -> Column:

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Sequence
+from itertools import accumulate
 
 import numpy as np
 
@@ -15,6 +16,10 @@ from ..config import DEFAULT, Thresholds
 from .damping import JUMP_TO_SIGMA
 
 
+#: Up to so many values, plain lists are faster than arrays.
+SHORT = 48
+
+
 def sigma_of(x: np.ndarray, t: Thresholds = DEFAULT) -> float:
     if len(x) < 2:
         return t.noise_floor
@@ -42,6 +47,8 @@ def stretch_ends(x: Sequence[float], price: float | None = None, premieres: Sequ
     if n < 2 * least:
         return [n] if n else []
     prices = break_prices(n, break_penalty(x, t) if price is None else price, premieres, t)
+    if n <= SHORT:
+        return _short(x.tolist(), prices.tolist(), least)
     sums, squares = np.r_[0.0, np.cumsum(x)], np.r_[0.0, np.cumsum(x * x)]
     best, came_from = np.full(n + 1, np.inf), np.zeros(n + 1, np.int64)
     best[0] = 0.0
@@ -63,6 +70,25 @@ def stretch_ends(x: Sequence[float], price: float | None = None, premieres: Sequ
     return ends[::-1]
 
 
+def _short(x: list[float], prices: list[float], least: int) -> list[int]:
+    """The same optimum over every start, with the same sums."""
+    n = len(x)
+    sums, squares = [0.0, *accumulate(x)], [0.0, *accumulate(v * v for v in x)]
+    best, came_from = [0.0] + [math.inf] * n, [0] * (n + 1)
+    for end in range(least, n + 1):
+        low, at = math.inf, 0
+        for start in range(end - least + 1):
+            total = sums[end] - sums[start]
+            here = best[start] + ((squares[end] - squares[start]) - total * total / (end - start)) + prices[start]
+            if here < low:
+                low, at = here, start
+        best[end], came_from[end] = low, at
+    ends = [n]
+    while came_from[ends[-1]]:
+        ends.append(came_from[ends[-1]])
+    return ends[::-1]
+
+
 def split_price(x: Sequence[float], ends: Sequence[int], price: float, premieres: Sequence[int] = (), t: Thresholds = DEFAULT) -> float:
     """What a split costs in all: squared spread within stretches, and breaks."""
     x = np.asarray(x, np.float64)

@@ -59,7 +59,7 @@ def contested(episodes: DataFrame, t: Thresholds = DEFAULT) -> DataFrame:
         return F.concat(F.collect_list(name).over(order.rowsBetween(-t.neighbours, -1)), F.collect_list(name).over(order.rowsBetween(1, t.neighbours)))
 
     rows = rated.select("*", near("votes").alias("near_votes"), near("rating").alias("near_ratings"), F.row_number().over(order).alias("at"), F.count("*").over(season).alias("n"))
-    rows = rows.withColumns({"neighbour_votes": array_median(F.col("near_votes")), "neighbour_rating": array_median(F.col("near_ratings")), "rating_gap": F.col("rating") - array_median(F.col("near_ratings"))})
+    rows = rows.withColumns({"neighbour_votes": array_median(F.col("near_votes")), "neighbour_rating": array_median(F.col("near_ratings"))}).withColumn("rating_gap", F.col("rating") - F.col("neighbour_rating"))
     bar = F.when((F.col("at") == 1) | (F.col("at") == F.col("n")), F.lit(t.contested_edge)).otherwise(F.lit(t.contested_ratio))
     found = rows.where((F.col("votes") >= t.bomb_votes) & (F.size("near_votes") >= 2) & (F.col("neighbour_votes") >= t.sibling_votes) & (F.col("votes") >= bar * F.col("neighbour_votes")) & (F.col("rating_gap") <= F.lit(-t.contested_drop)))
     return found.select("series", "season", "number", episode_label(F.col("season"), F.col("number")).alias("episode"), "votes", "rating", "neighbour_votes", "neighbour_rating", (F.col("votes") / F.col("neighbour_votes")).alias("vote_ratio"), "rating_gap")

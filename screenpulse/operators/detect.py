@@ -6,15 +6,17 @@ episode.  days: date, every day the history holds.  Each check returns FLAG_COLU
 
 from __future__ import annotations
 
-from datetime import date
+from datetime import date, timedelta
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import DEFAULT, Thresholds
-from ..functions.columns import array_mad, array_median
+from ..functions.columns import array_mad
 
 FLAG_COLUMNS = ("tid", "show", "day", "kind", "check", "votes", "rating", "rating_change", "extra_votes", "z", "ratio", "new_votes_rating")
+#: Listing order; of one title and day, checks stand in alphabetical order, which is daily, launch, page.
+FLAG_ORDER = ("day", "show", "tid", "check")
 
 
 def _typed(history: DataFrame) -> DataFrame:
@@ -65,21 +67,42 @@ def daily_steps(history: DataFrame, t: Thresholds = DEFAULT) -> DataFrame:
     return _steps(history, t).drop("day_no")
 
 
+def _with_prior(steps: DataFrame, t: Thresholds) -> DataFrame:
+    """steps with the changes before each (prior), their median (base) and how many they are (base_days).
+
+    base is a window's own output, so what reads it many times doesn't work it out many times.
+    """
+    before = Window.partitionBy("tid").orderBy("day_no").rowsBetween(-t.baseline_days, -1)
+    return steps.select("*", F.collect_list("dv").over(before).alias("prior"), F.percentile("dv", F.lit(0.5)).over(before).alias("base"), F.count("dv").over(before).alias("base_days"))
+
+
+def _scored(based: DataFrame) -> DataFrame:
+    """based with spread, z and extra; the median absolute deviation costs most, so filter first."""
+    spread = based.withColumn("spread", array_mad(F.col("prior"), F.col("base"), F.col("base_days").cast("int")))
+    above = F.col("dv") - F.col("base")
+    return spread.withColumns({"z": above / (F.lit(1.4826) * F.col("spread") + 1), "extra": above * F.col("gap")}).drop("prior", "day_no")
+
+
 def daily_scores(history: DataFrame, t: Thresholds = DEFAULT) -> DataFrame:
     """daily_steps with base, spread and base_days of the changes before each, z and extra."""
-    prior = Window.partitionBy("tid").orderBy("day_no").rowsBetween(-t.baseline_days, -1)
-    scored = _steps(history, t).withColumn("prior", F.collect_list("dv").over(prior))
-    scored = scored.withColumns({"base": array_median(F.col("prior")), "spread": array_mad(F.col("prior")), "base_days": F.size("prior").cast("long")})
-    return scored.withColumns({"z": (F.col("dv") - F.col("base")) / (F.lit(1.4826) * F.col("spread") + 1), "extra": (F.col("dv") - F.col("base")) * F.col("gap")}).drop("prior", "day_no")
+    return _scored(_with_prior(_steps(history, t), t))
+
 
+def daily_flags(history: DataFrame, episodes: DataFrame, t: Thresholds = DEFAULT, *, since: date | None = None, until: date | None = None, first_days: DataFrame | None = None) -> DataFrame:
+    """Days on which a title's new votes surged against its own pace.
 
-def daily_flags(history: DataFrame, episodes: DataFrame, t: Thresholds = DEFAULT, *, since: date | None = None, until: date | None = None) -> DataFrame:
-    """Days on which a title's new votes surged against its own pace."""
-    surged = daily_scores(history, t).where(
+    first_days: (tid, first_day), for a history that was cut before: the first day of each title in the whole of it.
+    """
+    based = _with_prior(_steps(history, t), t)
+    if first_days is not None:
+        known = first_days.select(F.col("tid").alias("k_tid"), F.col("first_day").alias("k_first"))
+        based = based.join(known, based["tid"] == known["k_tid"], "left").withColumn("first_day", F.coalesce("k_first", "first_day"))
+    likely = based.where(
         (F.col("votes") >= t.bomb_votes) & (F.col("base_days") >= t.least_baseline) & (F.date_diff("date", "first_day") >= t.launch_days)
-        & (F.col("gap") <= t.gap_days) & ~F.col("arriving") & (F.col("z") >= F.lit(t.surge_z))
+        & (F.col("gap") <= t.gap_days) & ~F.col("arriving") & (F.col("dv") - F.col("base") >= F.lit(t.surge_z))
         & (F.col("dv") >= F.greatest(F.lit(float(t.surge_votes)), F.lit(t.surge_share) * F.col("votes"))) & _between(F.col("date"), since, until)
     )
+    surged = _scored(likely).where(F.col("z") >= F.lit(t.surge_z))
     drop = F.col("dr_x10")
     kind = F.when((drop <= -t.shock_x10) & (F.col("below_x10") >= t.bomb_gap_x10), "bomb").when(drop >= t.shock_x10, "boost").otherwise("suspicious")
     shows = episodes.select(F.col("tid").alias("e_tid"), F.col("series").alias("e_series"))
@@ -110,31 +133,23 @@ def launch_days(history: DataFrame, episodes: DataFrame, days: DataFrame, t: Thr
 
 
 def with_siblings(aged: DataFrame) -> DataFrame:
-    """aged with the medians of the season's other episodes at the same age.
+    """aged with the medians of the season's other episodes at the same age; null for an only one.
 
-    Instead of a self-join, quadratic in a season's episodes: a window over (series, season, age) ranks the group
-    once, and a row's median of the others is that of the ranked values without its own.  A group is one season at
-    one age: as many rows as the season has episodes.
+    A group is one season at one age.  It is ranked once for each measure; a median without oneself can only be
+    one of three places around the middle, whose values are told to the whole group.
     """
     group = Window.partitionBy("series", "season", "age")
-
-    def others(name: str) -> tuple[Column, Column]:
-        """Median of the group's ranked values without the row's own place."""
-        place = F.row_number().over(group.orderBy(name, "tid"))
-        return place, F.array_sort(F.collect_list(name).over(group))
-
-    out = aged
+    out = aged.withColumn("others", F.count("*").over(group) - 1)
+    low = F.floor((F.col("others") + 1) / 2)  # of m others, places floor((m+1)/2) and floor(m/2)+1 are the middle
     for name in ("votes", "rating_x10"):
-        place, ranked = others(name)
-        out = out.withColumns({f"place_{name}": place, f"ranked_{name}": ranked})
-
-    def median(name: str) -> Column:
-        ranked, place, n = F.col(f"ranked_{name}"), F.col(f"place_{name}"), F.size(f"ranked_{name}") - 1
-        at = lambda k: F.element_at(ranked, F.when(k >= place, k + 1).otherwise(k))
-        low, high = F.floor((n + 1) / 2).cast("int"), (F.floor(n / 2) + 1).cast("int")
-        return F.when(n > 0, (at(low) + at(high)) / 2)
-
-    return out.select("*", median("votes").alias("siblings_votes"), median("rating_x10").alias("siblings_x10")).drop(*[f"{p}_{n}" for p in ("place", "ranked") for n in ("votes", "rating_x10")])
+        out = out.withColumn("place", F.row_number().over(group.orderBy(name, "tid")))
+        out = out.select("*", *[F.max(F.when(F.col("place") == low + k, F.col(name))).over(group).alias(f"middle_{k}") for k in range(3)])
+        own_below = lambda k: F.col("place") <= low + k  # noqa: E731  # then that place among the others is one on
+        first = F.when(own_below(0), F.col("middle_1")).otherwise(F.col("middle_0"))
+        second = F.when(F.col("others") % 2 == 1, first).when(own_below(1), F.col("middle_2")).otherwise(F.col("middle_1"))
+        short = "votes" if name == "votes" else "x10"
+        out = out.withColumn(f"siblings_{short}", F.when(F.col("others") > 0, (first + second) / 2)).drop("place", "middle_0", "middle_1", "middle_2")
+    return out.drop("others")
 
 
 def launch_flags(history: DataFrame, episodes: DataFrame, days: DataFrame, t: Thresholds = DEFAULT, *, since: date | None = None, until: date | None = None) -> DataFrame:
@@ -179,21 +194,41 @@ def page_flags(history: DataFrame, episodes: DataFrame, days: DataFrame, t: Thre
 
 
 def find_flags(history: DataFrame, episodes: DataFrame, days: DataFrame, t: Thresholds = DEFAULT, *, since: date | None = None, until: date | None = None) -> DataFrame:
-    """All three checks.  Order by day, show, tid and check for the listing order: daily, launch, page."""
+    """All three checks, in listing order: by day, show and title; daily, launch, page."""
     when = {"since": since, "until": until}
-    return daily_flags(history, episodes, t, **when).unionByName(launch_flags(history, episodes, days, t, **when)).unionByName(page_flags(history, episodes, days, t, **when))
+    found = daily_flags(history, episodes, t, **when).unionByName(launch_flags(history, episodes, days, t, **when)).unionByName(page_flags(history, episodes, days, t, **when))
+    return found.orderBy(*FLAG_ORDER)
 
 
-def sweep_flags(history: DataFrame, episodes: DataFrame, ratings: DataFrame, days: DataFrame, t: Thresholds = DEFAULT, *, since: date, until: date) -> DataFrame:
+def bounded_history(history: DataFrame, first_days: DataFrame, t: Thresholds = DEFAULT, *, since: date, until: date) -> DataFrame:
+    """The rows that the daily check needs to judge [since, until].
+
+    That is a month of rows before and the arrival window after.  A title with holes may have too few rows in
+    that month for its baseline: of such titles, older rows are read too.  first_days: (tid, first_day).
+    """
+    rows = t.baseline_days + 1
+    reach = since - timedelta(days=rows + t.gap_days)
+    recent = history.where(F.col("date").between(F.lit(reach), F.date_add(F.lit(until), t.launch_days)))
+    old = first_days.where(F.col("first_day") < F.lit(reach)).select("tid")
+    held = recent.where(F.col("date") < F.lit(since)).groupBy("tid").agg(F.count("*").alias("held")).where(F.col("held") >= rows)
+    short = old.join(recent.select("tid").distinct(), "tid", "left_semi").join(held, "tid", "left_anti")
+    return recent.unionByName(history.where(F.col("date") < F.lit(reach)).join(short, "tid", "left_semi"))
+
+
+def sweep_flags(history: DataFrame, episodes: DataFrame, ratings: DataFrame, days: DataFrame, t: Thresholds = DEFAULT, *, since: date, until: date, first_days: DataFrame | None = None) -> DataFrame:
     """Flags of all shows between two days, in one pass.
 
-    Semi-joins before the windows drop titles that never had the votes to be judged (votes only grow).  The history
-    is read up to launch_days after the last day; before the first it is read whole, as a title's first day counts.
+    Semi-joins before the windows drop titles that never had the votes to be judged (votes only grow).  The daily
+    check reads a bounded stretch of the history (bounded_history); the launch check needs the first two weeks of
+    all episodes of a voted season, whenever those were.  first_days: (tid, first_day), worked out if not given.
     """
     voted = ratings.where(F.col("votes") >= t.bomb_votes).select("tid")
     near = history.where(F.col("date") <= F.date_add(F.lit(until), t.launch_days))
-    seasons = episodes.join(episodes.join(voted, "tid", "left_semi").select(F.col("series").alias("s")).distinct(), F.col("series") == F.col("s"), "left_semi").select("tid")
     when = {"since": since, "until": until}
-    daily = daily_flags(near.join(voted, "tid", "left_semi"), episodes, t, **when)
+    mine = near.join(voted, "tid", "left_semi")
+    if first_days is None:
+        first_days = mine.groupBy("tid").agg(F.min("date").alias("first_day"))
+    daily = daily_flags(bounded_history(mine, first_days, t, **when), episodes, t, first_days=first_days, **when)
+    seasons = episodes.join(episodes.join(voted, "tid", "left_semi").select(F.col("series").alias("s")).distinct(), F.col("series") == F.col("s"), "left_semi").select("tid")
     launch = launch_flags(near.join(seasons, "tid", "left_semi"), episodes, days, t, **when)
     return daily.unionByName(launch).unionByName(page_flags(near, episodes, days, t, pages=voted, **when))

@@ -1,16 +1,17 @@
 """A verdict for each series: where it gets good, slumps and low points.
 
-Series are dealt out by key and judged in numpy, one group at a time (a series is at most some ten thousand episodes).
+A series is at most some ten thousand episodes; one at a time is in memory.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterable, Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from ..config import DEFAULT, Thresholds
 from .changepoints import sigma_of, stretch_ends
@@ -136,18 +137,58 @@ VERDICT_SCHEMA = (
 )
 
 
+_ROW = ("series", "kind", "at", "confidence", "reason", "median", "sigma", "episodes", "stretches", "slumps", "low_points", "damped")
+_LABELLED = pa.struct([("first", pa.string()), ("last", pa.string()), ("episodes", pa.int32()), ("level", pa.float64())])
+_SLUMP = pa.struct([("first", pa.string()), ("last", pa.string()), ("delta", pa.float64()), ("recovered", pa.bool_())])
+_ARROW = pa.schema(zip(_ROW, (pa.int32(), *[pa.string()] * 4, pa.float64(), pa.float64(), pa.int32(), pa.list_(_LABELLED), pa.list_(_SLUMP), pa.list_(pa.string()), pa.list_(pa.float64())), strict=True))
+
+
+def _judged(series: int, season: list[int], number: list[int], x10: list[int], votes: list[int], t: Thresholds) -> tuple:
+    s = _Show(season, number, [x / 10 for x in x10], votes, t)
+    parts = [{"first": s.labels[p.start], "last": s.labels[p.end - 1], "episodes": p.end - p.start, "level": p.level} for p in s.parts]
+    slumps = [dict(zip(("first", "last", "delta", "recovered"), x, strict=True)) for x in s.slumps()]
+    return (series, *s.turn(), s.median, s.sigma, len(season), parts, slumps, s.low_points(), s.x)
+
+
+def _runs(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[int, list[list[int]]]]:
+    """(series, its columns) of rows that stand together by series; a series may go over batches."""
+    held: int | None = None
+    columns: list[list[int]] = []
+    for batch in batches:
+        series, *rest = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
+        if not len(series):
+            continue
+        starts = np.flatnonzero(np.r_[True, series[1:] != series[:-1]])
+        for a, b in zip(starts.tolist(), [*starts[1:].tolist(), len(series)], strict=True):
+            some = [c[a:b].tolist() for c in rest]
+            if held == series[a]:
+                columns = [x + y for x, y in zip(columns, some, strict=True)]
+                continue
+            if held is not None:
+                yield held, columns
+            held, columns = int(series[a]), some
+    if held is not None:
+        yield held, columns
+
+
 def verdicts(episodes: DataFrame, t: Thresholds = DEFAULT) -> DataFrame:
-    """episodes: series, season, number, tid, rating_x10, votes.  A row for each series, VERDICT_SCHEMA."""
-
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["season", "number", "tid"], kind="stable")
-        v = judge(pdf["season"].tolist(), pdf["number"].tolist(), (pdf["rating_x10"] / 10).tolist(), pdf["votes"].tolist(), t)
-        labels = [f"S{s}E{n}" for s, n in zip(pdf["season"], pdf["number"], strict=True)]
-        parts = [(labels[p.start], labels[p.end - 1], p.end - p.start, p.level) for p in v.stretches]
-        named = lambda rows, names: [dict(zip(names, r, strict=True)) for r in rows]
-        return pd.DataFrame({
-            "series": [pdf["series"].iloc[0]], "kind": [v.kind], "at": [v.at], "confidence": [v.confidence], "reason": [v.reason], "median": [v.median], "sigma": [v.sigma], "episodes": [len(pdf)],
-            "stretches": [named(parts, ("first", "last", "episodes", "level"))], "slumps": [named(v.slumps, ("first", "last", "delta", "recovered"))], "low_points": [list(v.low_points)], "damped": [list(v.damped)],
-        })
-
-    return episodes.select("series", "season", "number", "tid", "rating_x10", "votes").groupBy("series").applyInPandas(one, VERDICT_SCHEMA)
+    """episodes: series, season, number, tid, rating_x10, votes.  A row for each series, VERDICT_SCHEMA.
+
+    Series are dealt out by key and sorted in the JVM; a task then judges run after run of rows, a thousand
+    series to an Arrow batch, so that no frame is made for a series.  The number of tasks is set, as the shuffle
+    is small for what is done with it.
+    """
+
+    def judge_all(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out: list[tuple] = []
+        for series, columns in _runs(batches):
+            out.append(_judged(series, *columns, t))
+            if len(out) == 1000:
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), _ARROW, strict=True)], schema=_ARROW)
+                out = []
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), _ARROW, strict=True)], schema=_ARROW)
+
+    tasks = int(episodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = episodes.repartition(tasks, "series").sortWithinPartitions("series", "season", "number", "tid")
+    return dealt.select(*[F.col(c).cast("long") for c in ("series", "season", "number", "rating_x10", "votes")]).mapInArrow(judge_all, VERDICT_SCHEMA)

@@ -14,9 +14,10 @@ from typing import Any
 
 from ..config import DEFAULT
 from ..operators import chart, report
-from ..operators.gates import Finding, remember_good
+from ..operators.gates import Finding
 from ..session import session, ship
 from ..sources import history, state, web
+from .backfill import Backfill
 from .engine import Engine
 
 
@@ -82,7 +83,7 @@ def sync(engine: Engine, args: argparse.Namespace, http: web.Http = web.urllib_h
 
 def _sync(engine: Engine, no_history: bool, run: dict[str, Any], http: web.Http) -> None:
     try:
-        got = web.fetch_all(engine.raw, http)
+        got = web.Sources(engine.raw, http).get_all()
     except web.WebError as error:
         raise Stop(1, f"Sync stopped: {error}", str(error)) from error
     run["files"] = {d.name: {"changed": d.changed, "as_of": d.as_of} for d in got}
@@ -93,7 +94,7 @@ def _sync(engine: Engine, no_history: bool, run: dict[str, Any], http: web.Http)
     _tell(found.findings)
     if not found.ok:
         raise Stop(1, "Sync stopped: these files won't be used until they pass.", _reasons(found.findings))
-    remember_good(engine.raw, found, {d.name: (d.as_of, d.last_modified) for d in got})
+    engine.remember(got, found)
     n, old = len(got) - len(found.skipped), len(found.skipped)
     print("Checks passed (" + (f"all {len(got)} files already checked" if not n else f"{n} file{'s' * (n != 1)} checked" + (f", {old} already checked" if old else "")) + ")")
     built = engine.build(got)
@@ -108,7 +109,7 @@ def _sync(engine: Engine, no_history: bool, run: dict[str, Any], http: web.Http)
         run["saved_today"] = day
         print(f"History: saved IMDb's file of {day}")
     if not no_history:
-        filled = engine.backfill(until=date.today(), http=http)
+        filled = Backfill(engine, until=date.today(), http=http).run()
         run["archive"] = {"added": len(filled.added), "skipped": len(filled.skipped)} | ({"stopped": filled.stopped} if filled.stopped else {})
         if filled.added:
             print(f"Archive: {len(filled.added):,} days added")
@@ -158,9 +159,9 @@ def show(engine: Engine, args: argparse.Namespace) -> None:
     if not engine.has_tables():
         raise Stop(1, "No data yet. Run sync first.")
     result = engine.answer(_pick(engine.find(args.name, args.year), args.name, ask=not args.json))
-    print(json.dumps(result.as_dict(), ensure_ascii=False, indent=2) if args.json else result.as_text())
+    print(json.dumps(report.as_json(result), ensure_ascii=False, indent=2) if args.json else report.as_text(result))
     if args.chart:
-        page = chart.write_page(result.as_dict(), engine.folder / "charts")
+        page = chart.write_page(report.as_json(result), engine.folder / "charts")
         print(f"Chart: {page}", file=sys.stderr if args.json else sys.stdout)
         webbrowser.open(page.resolve().as_uri())
 

@@ -23,25 +23,8 @@ episodes AS (SELECT DISTINCT CAST(user_id AS INT) AS tid, CAST(100000 + user_id
              CAST(floor(user_id / 15.0) AS INT) + 1 AS episode FROM {events} WHERE user_id % 2 = 0)
 """
 
-#: Seasons and series pages for the launch and page checks.
+#: Seasons and series pages for the launch and page checks: ten users to a series, so that each episode begins within the month; some surge.
 SEASONS = """
-episodes AS (SELECT DISTINCT CAST(user_id AS INT) AS tid, CAST(1000 + user_id % 15 AS INT) AS series, 1 AS season,
-             CAST(floor(user_id / 15.0) AS INT) + 1 AS episode FROM {events} WHERE user_id < 150),
-rows0 AS (SELECT CAST(user_id AS INT) AS tid, CAST(ts AS DATE) AS date FROM {events}
-          WHERE user_id < 150 GROUP BY user_id, CAST(ts AS DATE)),
-hist AS (
-  SELECT r.tid, r.date, CAST(85 - CASE WHEN r.tid % 7 = 0 THEN 20 ELSE 0 END AS INT) AS rating_x10,
-         CAST((300 + 50 * (day(r.date) - 2 * e.episode)) * CASE WHEN r.tid % 7 = 0 THEN 4 ELSE 1 END AS BIGINT) AS votes
-  FROM rows0 r JOIN episodes e ON e.tid = r.tid WHERE day(r.date) >= 2 * e.episode AND day(r.date) > 1
-  UNION ALL
-  SELECT CAST(e.series AS INT), r.date, CAST(CASE WHEN e.series % 3 = 0 THEN 55 ELSE 80 END AS INT),
-         CAST(40000 + 500 * day(r.date) AS BIGINT)
-  FROM rows0 r JOIN episodes e ON e.tid = r.tid WHERE day(r.date) >= 3 GROUP BY e.series, r.date),
-days AS (SELECT DISTINCT CAST(ts AS DATE) AS date FROM {events})
-"""
-
-#: The same with a place for every user: ten to a series, so that each episode begins within the month; some surge.
-ALL_SEASONS = """
 episodes AS (SELECT DISTINCT CAST(user_id AS INT) AS tid, CAST(10000000 + floor(user_id / 10.0) AS INT) AS series, 1 AS season,
              CAST(user_id % 10 AS INT) + 1 AS episode FROM {events}),
 rows0 AS (SELECT CAST(user_id AS INT) AS tid, CAST(ts AS DATE) AS date FROM {events} GROUP BY user_id, CAST(ts AS DATE)),

@@ -54,15 +54,16 @@ def fold(held: DataFrame | None, landed: DataFrame) -> DataFrame:
 def compact(root: Store) -> list[str]:
     """Fold waiting days into their months; returns the months rewritten.
 
-    The month is published before its manifest and landed days go last: a crash between leaves days that are folded
-    again and found to be held.
+    The manifest tells which days a month has; a month none of whose waiting days are new isn't read.  It is
+    published before its manifest and landed days go last: a crash between leaves days that are folded again, and
+    fold() finds them among the month's rows.
     """
     spark, rewritten = root.spark, []
     days = waiting(root)
     for month in sorted({d.isoformat()[:7] for d in days}):
         mine = [d for d in days if d.isoformat().startswith(month)]
         held = spark.read.schema(SCHEMA).parquet(root.at(f"months/{month}")) if root.exists(f"months/{month}") else None
-        have = {r["date"] for r in held.select("date").distinct().collect()} if held is not None else set()
+        have = {r["date"] for r in spark.read.schema("date date").parquet(root.at(f"held/{month}")).collect()} if root.exists(f"held/{month}") else set()
         if new := [d for d in mine if d not in have]:
             landed = spark.read.schema(SCHEMA).parquet(*[root.at(f"days/{d.isoformat()}") for d in new])
             rows = fold(held, landed).repartitionByRange(F.col("series")).sortWithinPartitions(*ORDER)

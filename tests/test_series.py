@@ -12,6 +12,17 @@ from screenpulse.operators import changepoints, damping, scoring, search, verdic
 x10s = st.lists(st.integers(10, 100).map(lambda v: v / 10), min_size=6, max_size=12)
 
 
+@given(st.lists(st.integers(10, 100).map(lambda v: v / 10), min_size=6, max_size=40), st.floats(0.01, 5))
+@settings(max_examples=100, deadline=None)
+def test_lists_and_arrays_agree(x, price):
+    by_list, short = changepoints.stretch_ends(x, price, [10]), changepoints.SHORT
+    try:
+        changepoints.SHORT = 0
+        assert changepoints.stretch_ends(x, price, [10]) == by_list
+    finally:
+        changepoints.SHORT = short
+
+
 @given(x10s, st.floats(0.01, 5), st.sets(st.integers(0, 12)))
 @settings(max_examples=200, deadline=None)
 def test_no_split_is_cheaper(x, price, premieres):
@@ -106,10 +117,27 @@ def test_jaro_winkler():
     assert jaro_winkler("", "a") == 0.0 and jaro_winkler("a", "a") == 1.0 and jaro_winkler("ab", "cd") == 0.0
 
 
-def test_label_scores():
-    v = verdicts.judge(*show((6, 7.0), (20, 8.0), per_season=6))
-    order = [f"S{s}E{n}" for s, n in zip(*show((6, 7.0), (20, 8.0), per_season=6)[:2], strict=True)]
-    assert scoring.misses({"gets_good_at": "S2E3"}, order, v) == []
-    assert scoring.misses({"gets_good_at": "S3E1", "good_from_start": True}, order, v) == ["expected gets good at S3E1, got gets good at S2E1", "expected good from the start, got gets good at S2E1"]
-    assert scoring.misses({"slump_from": "S3E1", "low_point": "S1E1"}, order, v) == ["expected a slump from S3E1, got slumps: none", "expected a low point at S1E1, got low points: none"]
-    assert scoring.touches([5], {"S1"}, {5: "S1E2"}) and not scoring.touches([5], {"S1"}, {5: "S11E2"}) and scoring.touches([9], {"series"}, {9: "series"})
+def test_label_scores(spark):
+    rows = [(1, a, b, i, round(x * 10), c) for i, (a, b, x, c) in enumerate(zip(*show((6, 7.0), (20, 8.0), per_season=6), strict=True))]
+    rated = spark.createDataFrame(rows, "series int, season int, number int, tid int, rating_x10 int, votes long")
+    labels = [(0, 1, "S2E3", None, None, None), (1, 1, "S3E1", True, None, None), (2, 1, None, None, "S3E1", "S1E1"), (3, 9, "S1E1", None, None, None), (4, 1, "S9E9", None, None, None)]
+    labels = spark.createDataFrame(labels, "label int, show int, gets_good_at string, good_from_start boolean, slump_from string, low_point string")
+    got = {r["label"]: r for r in scoring.turning_points(verdicts.verdicts(rated), rated, labels).collect()}
+    assert got[0]["wrong"] == [] and got[0]["said"] == "gets good at S2E1" and got[3]["said"] is None
+    assert got[1]["wrong"] == ["expected gets good at S3E1, got gets good at S2E1", "expected good from the start, got gets good at S2E1"]
+    assert got[2]["wrong"] == ["expected a slump from S3E1, got slumps: none", "expected a low point at S1E1, got low points: none"]
+    assert got[4]["wrong"] == ["expected gets good at S9E9, got gets good at S2E1"]
+
+
+def test_known_bombs_touch_their_titles(spark):
+    from datetime import date
+
+    days = lambda n: date(2024, 1, n)
+    found = spark.createDataFrame([(1, days(5), days(6), "bomb", [12]), (1, days(20), days(21), "bomb", [1]), (1, days(1), days(30), "boost", [11])], "show int, start date, end date, kind string, titles array<int>")
+    episodes = spark.createDataFrame([(11, 1, 1, 1), (12, 1, 11, 2)], "tid int, series int, season int, episode int")
+    known = [(0, ["S11E2"], 6, 9), (1, ["S1"], 1, 30), (2, ["S11"], 1, 30), (3, ["series"], 1, 30), (4, ["series"], 1, 9), (5, ["S11E2", "series"], 1, 30)]
+    known = spark.createDataFrame([(n, 1, t, days(a), days(b)) for n, t, a, b in known], "label int, show int, titles array<string>, since date, until date")
+    got = {r["label"]: (r["start"] and r["start"].day, r["events"]) for r in scoring.found_bombs(found, episodes, known).collect()}
+    assert got == {0: (5, 1), 1: (None, 0), 2: (5, 1), 3: (20, 1), 4: (None, 0), 5: (5, 2)}
+    held = spark.createDataFrame([(days(n),) for n in (3, 6, 28)], "date date")
+    assert {r["label"] for r in scoring.covered(known, held).collect()} == {0}
