@@ -1,16 +1,17 @@
 """Toxicity by nearest labelled examples: exact TF-IDF cosine over a block-max inverted index.
 
-1. A bounded sample of labelled documents (``per_class`` of each label, least hash first) gives the vocabulary: all its
-   terms.  TF-IDF is multiplied by how well a term tells the labels apart, the root of its G (likelihood ratio against
-   independence) times its log-odds, so that rare and weak terms count little but none is dropped.
-2. One scan over all whole texts writes each document's sparse vector (term numbers and counts).
-3. Document frequencies are counted over all documents.  The sample's vectors are gathered - bounded by
-   ``per_class`` - and indexed: examples in blocks, a posting list for each term with the largest
-   weight of each block.
-4. Each document is a query: blocks in order of their bounds, scored exactly until no bound reaches the k-th
-   best.  Equal vectors are one example with all their labels.  Votes weigh cosine squared times the share of the
-   label that an example stands for; a prior, the rate among the sample's zero vectors, steadies them.  Neighbours are
-   the evidence.
+1. A bounded sample of labelled documents (``per_class`` of each label, least hash first) are the examples.  All their
+   terms are the vocabulary; none is dropped.
+2. One scan counts in how many of all documents each term stands, in arrays of each task; another scan scores.
+3. A term weighs tf * idf * relevance.  Relevance is how well the term tells the examples' labels apart, the root of
+   its G (likelihood ratio against independence) times its log-odds, and never under ``FLOOR``, so any shared term makes
+   neighbours.  Equal vectors count once, so that copies are not taken for independent evidence.
+4. Each document is a query.  Its heaviest terms are scored through their postings; what the others could add to an
+   example is bounded by the largest weights of the example's block; only examples whose bound reaches the k-th best
+   are scored, exactly.
+5. The k nearest vote: cosine squared times the share of its label that an example stands for, steadied by a prior.
+6. A vote becomes a probability by a logistic curve through its log-odds, fitted on votes that each half of the examples
+   got from an index of the other half.
 """
 
 from __future__ import annotations
@@ -19,20 +20,23 @@ import math
 import re
 from collections import Counter
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_rows, saved, slices, text_key
+from .common import map_rows, saved, slices
 
 PER_CLASS = 4000
 NEIGHBOURS = 25
 BLOCK = 64
 THRESHOLD = 0.7
-#: Weight of the prior against votes.
-PRIOR_WEIGHT = 0.1
+#: Weight of the prior against votes; least relevance of a term; ridge of the calibration's slope.
+PRIOR_WEIGHT, FLOOR, RIDGE = 0.1, 0.01, 1.0
+#: Postings of a query that are read before bounds are looked at, and answers that a task remembers.
+FIRST_POSTINGS, REMEMBERED = 16_384, 20_000
 
 _TERM = re.compile(r"[^\W\d_]+")
 
@@ -52,90 +56,202 @@ def _spans(first: np.ndarray, end: np.ndarray) -> np.ndarray:
     return np.repeat(first - np.cumsum(n) + n, n) + np.arange(n.sum())
 
 
+@dataclass
+class Vectors:
+    """Sparse rows: those of row i are at start[i]:start[i+1], by term."""
+
+    start: np.ndarray
+    term: np.ndarray
+    value: np.ndarray
+
+    def __len__(self) -> int:
+        return len(self.start) - 1
+
+    def rows(self) -> np.ndarray:
+        return np.repeat(np.arange(len(self)), np.diff(self.start))
+
+    def some(self, which: np.ndarray) -> Vectors:
+        at = _spans(self.start[which], self.start[which + 1])
+        return Vectors(np.r_[0, np.cumsum(np.diff(self.start)[which])], self.term[at], self.value[at])
+
+    def sums(self, x: np.ndarray) -> np.ndarray:
+        """Of each row, the sum of x; exact for whole numbers, in term order for others."""
+        return np.array([math.fsum(x[a:b]) for a, b in zip(self.start[:-1].tolist(), self.start[1:].tolist(), strict=True)])
+
+    def weighted(self, weight: np.ndarray) -> Vectors:
+        """value is counts: (1 + ln) times the terms' weights, each row of length 1."""
+        w = (1 + np.log(self.value)) * weight[self.term]
+        norm = np.sqrt(self.sums(w * w))
+        return Vectors(self.start, self.term, w / np.repeat(np.where(norm > 0, norm, 1), np.diff(self.start)))
+
+
 class BlockMaxIndex:
     """Exact top-k cosine over sparse unit vectors.  Ties go to the smaller example number."""
 
-    def __init__(self, vectors: list[dict[int, float]], block: int = BLOCK):
-        self.n, self.block = len(vectors), block
-        sizes = [len(v) for v in vectors]
-        term = np.fromiter((t for v in vectors for t in v), np.int64, sum(sizes))
-        weight = np.fromiter((w for v in vectors for w in v.values()), np.float64, sum(sizes))
-        order = np.argsort(term, kind="stable")
-        term, self.example, self.weight = term[order], np.repeat(np.arange(self.n), sizes)[order], weight[order]
+    def __init__(self, vectors: Vectors, n_terms: int, block: int = BLOCK):
+        self.n, self.vectors, self.block = len(vectors), vectors, block
+        order = np.argsort(vectors.term, kind="stable")
+        term, self.example, self.weight = vectors.term[order], vectors.rows()[order], vectors.value[order]
+        self.lists = np.searchsorted(term, np.arange(n_terms + 1))
         at = self.example // block
-        # A list for each term, of entries for its blocks: block, first posting, largest weight.
+        # An entry for each term and block that meet: the largest weight there.
         first = np.flatnonzero(np.r_[True, (term[1:] != term[:-1]) | (at[1:] != at[:-1])]) if len(term) else np.zeros(0, np.int64)
-        self.first, self.blocks = np.r_[first, len(term)], at[first]
-        self.top = np.maximum.reduceat(self.weight, first) if len(term) else np.zeros(0)
-        self.terms, lists = np.unique(term[first], return_index=True)
-        self.lists = np.r_[lists, len(first)]
-
-    def search(self, query: dict[int, float], k: int) -> tuple[list[tuple[int, float]], int]:
-        """([(example, cosine)] best first, blocks scored); only examples that share a term."""
-        term, w = np.fromiter(query.keys(), np.int64, len(query)), np.fromiter(query.values(), np.float64, len(query))
-        i = np.searchsorted(self.terms, term)
-        known = i < len(self.terms)
-        known[known] = self.terms[i[known]] == term[known]
-        i, w = i[known], w[known]
-        entry, weight = _spans(self.lists[i], self.lists[i + 1]), np.repeat(w, self.lists[i + 1] - self.lists[i])
-        n = -(-self.n // self.block)
-        bounds = np.bincount(self.blocks[entry], weight * self.top[entry], minlength=n)
-        by_block = np.argsort(self.blocks[entry], kind="stable")
-        entry, weight = entry[by_block], weight[by_block]
-        at = np.searchsorted(self.blocks[entry], np.arange(n + 1))
-        order = np.argsort(-bounds, kind="stable")
-        order = order[bounds[order] > 0]
-        found, best, scored, step = np.zeros(0, np.int64), np.zeros(0), 0, 1
-        while scored < len(order):
-            some = order[scored : scored + step]
-            if len(best) == k:
-                some = some[bounds[some] * (1 + 1e-12) >= best[-1]]
-            if not len(some):
-                break
-            scored, step = scored + len(some), 2 * step
-            mine = _spans(at[some], at[some + 1])
-            e = entry[mine]
-            posting = _spans(self.first[e], self.first[e + 1])
-            score = np.bincount(self.example[posting], np.repeat(weight[mine], self.first[e + 1] - self.first[e]) * self.weight[posting], minlength=self.n)
-            hit = np.flatnonzero(score > 0)
-            found, best = np.r_[found, hit], np.r_[best, score[hit]]
-            top = np.lexsort((found, -best))[:k]
-            found, best = found[top], best[top]
-        return list(zip(found.tolist(), best.tolist(), strict=True)), scored
+        self.entry_block = at[first]
+        self.entry_top = np.maximum.reduceat(self.weight, first) if len(term) else np.zeros(0)
+        self.entries = np.searchsorted(term[first], np.arange(n_terms + 1))
+        self.top = np.zeros(n_terms)
+        np.maximum.at(self.top, term, self.weight)
+        self.n_blocks = -(-self.n // block)
+        self._dense = np.zeros(n_terms)
+
+    def _sums(self, terms: np.ndarray, w: np.ndarray) -> np.ndarray:
+        a, b = self.lists[terms], self.lists[terms + 1]
+        posting = _spans(a, b)
+        return np.bincount(self.example[posting], np.repeat(w, b - a) * self.weight[posting], minlength=self.n)
+
+    def _exact(self, which: np.ndarray, terms: np.ndarray, w: np.ndarray) -> np.ndarray:
+        """Cosines of some examples, each summed over its terms in order, whatever led to it."""
+        self._dense[terms] = w
+        some = self.vectors.some(which)
+        products = self._dense[some.term] * some.value
+        self._dense[terms] = 0
+        return np.add.reduceat(products, some.start[:-1]) if len(which) else np.zeros(0)
+
+    def search(self, terms: np.ndarray, w: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, int]:
+        """(examples, cosines) best first, and how many were scored; only examples that share a term."""
+        size = self.lists[terms + 1] - self.lists[terms]
+        terms, w, size = terms[size > 0], w[size > 0], size[size > 0]
+        order = np.argsort(-w * self.top[terms], kind="stable")
+        m = max(1, int(np.searchsorted(np.cumsum(size[order]), FIRST_POSTINGS, side="right")))
+        lead, rest = order[:m], order[m:]
+        low = self._sums(terms[lead], w[lead])
+        slack = 1 + 1e-9
+        if len(rest):
+            entry = _spans(self.entries[terms[rest]], self.entries[terms[rest] + 1])
+            gain = np.repeat(w[rest], self.entries[terms[rest] + 1] - self.entries[terms[rest]]) * self.entry_top[entry]
+            bound = np.bincount(self.entry_block[entry], gain, minlength=self.n_blocks)
+            high = low + np.repeat(bound, self.block)[: self.n]
+            bar = np.partition(low, self.n - k)[self.n - k] if k < self.n else 0.0
+            which = np.flatnonzero((high * slack >= bar) & (high > 0))
+            if len(which) > 8 * k + self.n // 16:  # bounds tell little apart: read the other postings too
+                low = low + self._sums(terms[rest], w[rest])
+                bar = np.partition(low, self.n - k)[self.n - k] if k < self.n else 0.0
+                which = np.flatnonzero((low * slack >= bar) & (low > 0))
+        else:
+            bar = np.partition(low, self.n - k)[self.n - k] if k < self.n else 0.0
+            which = np.flatnonzero((low * slack >= bar) & (low > 0))
+        score = self._exact(which, terms, w)
+        which, score = which[score > 0], score[score > 0]
+        best = np.lexsort((which, -score))[:k]
+        return which[best], score[best], len(which)
+
+
+def relevance(found: Vectors, toxic: np.ndarray, n_terms: int) -> np.ndarray:
+    """Of each term, how well it tells the distinct vectors of one label from those of the other."""
+    n1, n = int(toxic.sum()), len(toxic)
+    n0 = n - n1
+    if not n0 or not n1:
+        return np.ones(n_terms)
+    every = np.bincount(found.term, minlength=n_terms).astype(float)
+    a = np.bincount(found.term, toxic[found.rows()].astype(float), minlength=n_terms)
+    c = every - a
+    b, d = n1 - a, n0 - c
+
+    def part(seen: np.ndarray, row: np.ndarray, column: int) -> np.ndarray:
+        return np.where(seen > 0, seen * np.log(np.maximum(seen, 1) * n / np.maximum(row * column, 1)), 0.0)
+
+    g = 2 * (part(a, every, n1) + part(c, every, n0) + part(b, n - every, n1) + part(d, n - every, n0))
+    odds = np.log((a + 0.5) / (b + 0.5)) - np.log((c + 0.5) / (d + 0.5))
+    return np.maximum(FLOOR, np.sqrt(np.maximum(g, 0)) * np.abs(odds))
+
+
+class Voters:
+    """Distinct example vectors with what each votes for, and their index."""
+
+    def __init__(self, found: Vectors, votes: np.ndarray, idf: np.ndarray, k: int):
+        """votes: a row for each distinct vector, what label 1 and all labels weigh in it."""
+        self.k = k
+        total = votes.sum(axis=0)
+        self.rate = float(total[0] / total[1]) if total[1] else 0.0
+        empty = np.diff(found.start) == 0
+        none = votes[empty].sum(axis=0)
+        self.prior = float((none[0] + self.rate) / (none[1] + 1))
+        self.which = np.flatnonzero(~empty)  # numbers of the distinct vectors that can be near
+        self.votes = votes[self.which]
+        mine = found.some(self.which)
+        share = np.divide(self.votes[:, 0], self.votes[:, 1], out=np.zeros(len(mine)), where=self.votes[:, 1] > 0)
+        self.weight = idf * relevance(mine, share >= 0.5, len(idf))
+        self.index = BlockMaxIndex(mine.weighted(self.weight), len(idf))
+
+    def vote(self, terms: np.ndarray, counts: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
+        """(share of label 1 among the nearest, their numbers, their cosines)."""
+        w = (1 + np.log(counts)) * self.weight[terms]
+        if not len(terms) or not self.index.n:
+            return self.prior, np.zeros(0, np.int64), np.zeros(0)
+        near, cosine, _ = self.index.search(terms, w / math.sqrt(math.fsum(w * w)), self.k)
+        pull = cosine * cosine
+        toxic, every = (math.fsum(pull * self.votes[near, j]) for j in (0, 1))
+        return (toxic + PRIOR_WEIGHT * self.prior) / (every + PRIOR_WEIGHT), self.which[near], cosine
+
+
+def _log_odds(p: np.ndarray) -> np.ndarray:
+    p = np.clip(p, 1e-4, 1 - 1e-4)
+    return np.log(p / (1 - p))
+
+
+def calibration(vote: np.ndarray, toxic: np.ndarray, every: np.ndarray) -> tuple[float, float]:
+    """(slope, offset) of the logistic curve through votes' log-odds; toxic of every weigh label 1.  Rising."""
+    x, slope, offset = _log_odds(vote), 1.0, 0.0
+    if not toxic.sum() or toxic.sum() == every.sum():
+        return slope, offset
+    for _ in range(100):
+        p = 1 / (1 + np.exp(-np.clip(slope * x + offset, -30, 30)))
+        g = np.array([(x * (toxic - every * p)).sum() - RIDGE * (slope - 1), (toxic - every * p).sum()])
+        h = every * p * (1 - p)
+        hess = np.array([[(h * x * x).sum() + RIDGE, (h * x).sum()], [(h * x).sum(), h.sum() + 1e-9]])
+        step = np.linalg.solve(hess, g)
+        slope, offset = slope + float(np.clip(step[0], -1, 1)), offset + float(np.clip(step[1], -1, 1))
+        if np.abs(step).max() < 1e-10:
+            break
+    return max(slope, 0.05), offset
 
 
 class Model:
-    """Vocabulary, idf, examples and their index; bounded by per_class."""
-
-    def __init__(self, idf: list[float], examples: list[tuple[object, int, list[int], list[int]]], share: tuple[float, float], k: int):
-        self.idf, self.k, self.share = np.array(idf), k, share
-        groups: dict[tuple, list[tuple[object, int]]] = {}
-        for doc, y, terms, counts in examples:
-            groups.setdefault((tuple(terms), tuple(counts)), []).append((doc, y))
-        zero = groups.pop(((), ()), [])
-        weigh = lambda some: (math.fsum(share[y] for _, y in some if y), math.fsum(share[y] for _, y in some))
-        toxic, every = weigh([(e[0], e[1]) for e in examples])
-        rate = toxic / every if every else 0.0
-        toxic, every = weigh(zero)
-        self.prior = (toxic + rate) / (every + 1)
+    """Vocabulary, examples, their index and the calibration; its size is bounded by per_class."""
+
+    def __init__(self, vocab: list[str], found: Vectors, labels: np.ndarray, docs: list, share: tuple[float, float], df: np.ndarray, n: int, k: int):
+        """found: term counts of the examples in order of doc; df, n: documents with each term, and all of them."""
+        self.number = {t: i for i, t in enumerate(vocab)}
+        groups: dict[bytes, list[int]] = {}
+        for i, (a, b) in enumerate(zip(found.start[:-1].tolist(), found.start[1:].tolist(), strict=True)):
+            groups.setdefault(found.term[a:b].astype(np.int64).tobytes() + found.value[a:b].astype(np.int64).tobytes(), []).append(i)
         # Equal vectors are one example with all their labels: no tie between them is broken by an id.
-        keys = sorted(groups)
-        self.votes = [weigh(groups[v]) for v in keys]
-        self.shown = [(min(d for d, _ in groups[v]), len(groups[v]), sum(y for _, y in groups[v])) for v in keys]
-        self.index = BlockMaxIndex([self.unit(*v) for v in keys])
-
-    def unit(self, terms: list[int], counts: list[int]) -> dict[int, float]:
-        w = {t: (1 + math.log(c)) * float(self.idf[t]) for t, c in zip(terms, counts, strict=True)}
-        norm = math.sqrt(math.fsum(x * x for x in w.values()))
-        return {t: x / norm for t, x in w.items()} if norm else {}
-
-    def score(self, terms: list[int], counts: list[int]) -> tuple[float, list[tuple[int, float]]]:
-        if not terms:
-            return self.prior, []
-        near, _ = self.index.search(self.unit(terms, counts), self.k)
-        toxic = math.fsum(c * c * self.votes[e][0] for e, c in near)
-        every = math.fsum(c * c * self.votes[e][1] for e, c in near)
-        return (toxic + PRIOR_WEIGHT * self.prior) / (every + PRIOR_WEIGHT), near
+        members = [groups[key] for key in sorted(groups)]
+        distinct = found.some(np.array([m[0] for m in members], np.int64))
+        weigh = np.array(share)[labels]
+        votes = np.array([[math.fsum(weigh[i] for i in m if labels[i]), math.fsum(weigh[i] for i in m)] for m in members]).reshape(len(members), 2)
+        self.shown = [(min(docs[i] for i in m), len(m), int(labels[m].sum())) for m in members]
+        idf = np.log((1 + n) / (1 + df)) + 1
+        self.voters = Voters(distinct, votes, idf, k)
+        # Each half's votes from the other half; halves by position, which has nothing to do with labels.
+        raw, side = np.zeros(len(members)), np.arange(len(members)) % 2
+        for s in (0, 1):
+            others = Voters(distinct.some(np.flatnonzero(side != s)), votes[side != s], idf, k)
+            for i in np.flatnonzero(side == s).tolist():
+                at = slice(distinct.start[i], distinct.start[i + 1])
+                raw[i] = others.vote(distinct.term[at], distinct.value[at])[0]
+        self.slope, self.offset = calibration(raw, votes[:, 0], votes[:, 1])
+
+    def vector(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
+        number = self.number
+        got = sorted((number[t], n) for t, n in Counter(terms_of(text)).items() if t in number)
+        return np.array([t for t, _ in got], np.int64), np.array([n for _, n in got], np.float64)
+
+    def score(self, text: str | None) -> tuple[float, list[dict]]:
+        vote, near, cosine = self.voters.vote(*self.vector(text))
+        p = float(1 / (1 + np.exp(-(self.slope * _log_odds(np.array(vote)) + self.offset))))
+        names = ("doc_id", "n", "n_toxic")
+        return p, [dict(zip(names, self.shown[e], strict=True), cosine=c) for e, c in zip(near.tolist(), cosine.tolist(), strict=True)]
 
 
 def _labelled(labels: DataFrame, id_col: str, label_col: str) -> DataFrame:
@@ -152,53 +268,65 @@ def sample(labels: DataFrame, per_class: int, *, id_col: str = "doc_id", label_c
     return saved(some[0].unionByName(some[1]), "sample"), (count.get(0, 0), count.get(1, 0))
 
 
-def vocabulary(docs: DataFrame, chosen: DataFrame) -> dict[str, float]:
-    """All terms of the sample with their weights, in order; docs: doc, text.  A weight of 0 is left out.  chosen has a stated bound, so it can be broadcast."""
-    both = docs.join(F.broadcast(chosen), docs["doc"] == chosen["doc"]).select(chosen["y"], "text")
-    schema = pa.schema([("term", pa.string()), ("y", pa.int64()), ("n", pa.int64())])
+def examples(docs: DataFrame, chosen: DataFrame, id_type: str) -> pa.Table:
+    """doc, y, terms, counts of the sample, by doc; chosen has a stated bound, so it can be broadcast and gathered.
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found: tuple[Counter, Counter] = (Counter(), Counter())
-        total = [0, 0]
-        for batch in slices(batches):
-            for y, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                found[y].update(set(terms_of(text)))
-                total[y] += 1
-        rows = [(t, y, n) for y in (0, 1) for t, n in found[y].items()] + [(None, y, total[y]) for y in (0, 1)]
-        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(schema.types)], schema=schema)
-
-    of = lambda y: F.sum(F.when(F.col("y") == y, F.col("n")).otherwise(0)).cast("double")
-    counts = saved(both.mapInArrow(count, "term string, y long, n long").groupBy("term").agg(of(0).alias("c0"), of(1).alias("c1")), "terms")
-    total = counts.where("term is null").first()
-    if total is None:
-        return {}
-    n0, n1 = total["c0"], total["c1"]
-    a, c = F.col("c1"), F.col("c0")
-    b, d = F.lit(n1) - a, F.lit(n0) - c
-    n = n0 + n1
-    part = lambda seen, row, column: F.when(seen > 0, seen * F.log(seen * n / (row * column))).otherwise(0.0)
-    g = 2 * (part(a, a + c, F.lit(n1)) + part(c, a + c, F.lit(n0)) + part(b, b + d, F.lit(n1)) + part(d, b + d, F.lit(n0)))
-    odds = F.log((a + 0.5) / (b + 0.5)) - F.log((c + 0.5) / (d + 0.5))
-    told = counts.where(F.col("term").isNotNull()).select("term", (F.sqrt(F.greatest(g, F.lit(0.0))) * F.abs(odds)).alias("weight")).where("weight > 0").orderBy("term").toArrow()
-    return dict(zip(told["term"].to_pylist(), told["weight"].to_pylist(), strict=True))
-
-
-def vectors(docs: DataFrame, vocab: dict[str, float]) -> DataFrame:
-    """docs: doc, text.  doc, k_text, terms, counts: of each document row, terms ascending."""
-    shared = docs.sparkSession.sparkContext.broadcast({t: i for i, t in enumerate(vocab)})
-    id_type = dict(docs.dtypes)["doc"]
+    Documents that share an id are one example: the least vector.
+    """
+    both = docs.join(F.broadcast(chosen), docs["doc"] == chosen["doc"]).select(chosen["doc"], chosen["y"], "text")
     arrow = pa.string() if id_type == "string" else pa.int64()
-    schema = pa.schema([("doc", arrow), ("k_text", pa.int64()), ("terms", pa.list_(pa.int32())), ("counts", pa.list_(pa.int32()))])
-    def one(ids: list, keys: list, texts: list) -> dict[str, list]:
-        number, terms, counts = shared.value, [], []
-        for text in texts:
-            got = Counter(filter(number.__contains__, terms_of(text)))
-            v = sorted((number[t], n) for t, n in got.items())
-            terms.append([t for t, _ in v])
-            counts.append([n for _, n in v])
-        return {"doc": ids, "k_text": keys, "terms": terms, "counts": counts}
+    schema = pa.schema([("doc", arrow), ("y", pa.int32()), ("terms", pa.list_(pa.string())), ("counts", pa.list_(pa.int64()))])
 
-    return map_rows(docs.select("doc", text_key("text"), "text"), one, f"doc {id_type}, k_text long, terms array<int>, counts array<int>", schema)
+    def one(ids: list, ys: list, texts: list) -> dict[str, list]:
+        found = [sorted(Counter(terms_of(t)).items()) for t in texts]
+        return {"doc": ids, "y": ys, "terms": [[t for t, _ in f] for f in found], "counts": [[n for _, n in f] for f in found]}
+
+    rows = map_rows(both, one, f"doc {id_type}, y int, terms array<string>, counts array<long>", schema)
+    return rows.groupBy("doc").agg(F.min(F.struct("terms", "counts", "y")).alias("m")).select("doc", "m.y", "m.terms", "m.counts").toArrow().sort_by("doc")
+
+
+def document_frequencies(docs: DataFrame, vocab: list[str]) -> tuple[np.ndarray, int]:
+    """(documents with each term of the vocabulary, all documents): counted in each task, then summed by term."""
+    shared = docs.sparkSession.sparkContext.broadcast({t: i for i, t in enumerate(vocab)})
+    schema = pa.schema([("term", pa.int32()), ("n", pa.int64())])
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number, seen = shared.value, np.zeros(len(shared.value) + 1, np.int64)
+        for batch in slices(batches):
+            got: Counter[int] = Counter()
+            for text in batch.column(0).to_pylist():
+                got.update(number[t] for t in set(terms_of(text)) if t in number)
+            seen[list(got.keys())] += list(got.values())
+            seen[-1] += batch.num_rows
+        some = np.flatnonzero(seen)
+        yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(seen[some])], schema=schema)
+
+    told = docs.select("text").mapInArrow(count, "term int, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow()
+    seen = np.zeros(len(vocab) + 1, np.int64)
+    seen[told["term"].to_numpy()] = told["n"].to_numpy()
+    return seen[:-1].astype(float), int(seen[-1])
+
+
+def fit(docs: DataFrame, labels: DataFrame, *, id_col: str, label_col: str, per_class: int, k: int, id_type: str) -> Model:
+    """docs: doc, text."""
+    chosen, every = sample(labels.withColumn(id_col, F.col(id_col).cast(id_type)), per_class, id_col=id_col, label_col=label_col)
+    rows = examples(docs, chosen, id_type)
+    terms, counts = (pa.chunked_array(rows[c].chunks, rows.schema.field(c).type).combine_chunks() for c in ("terms", "counts"))
+    words = terms.flatten().dictionary_encode()
+    order = np.argsort(np.array(words.dictionary.to_pylist(), object), kind="stable") if len(words) else np.zeros(0, np.int64)
+    place = np.empty(len(order), np.int64)
+    place[order] = np.arange(len(order))
+    vocab = words.dictionary.take(pa.array(order)).to_pylist() if len(words) else []
+    # Terms of a row are in order of their text, so their numbers are in order too.
+    codes = place[words.indices.to_numpy(zero_copy_only=False)] if len(words) else np.zeros(0, np.int64)
+    start = np.r_[0, np.cumsum(terms.value_lengths().to_numpy(zero_copy_only=False))].astype(np.int64) if len(rows) else np.zeros(1, np.int64)
+    found = Vectors(start, codes, counts.flatten().to_numpy(zero_copy_only=False).astype(float))
+    df, n = document_frequencies(docs, vocab)
+    y = rows["y"].to_numpy().astype(np.int64)
+    in_sample = np.bincount(y, minlength=2)
+    share = [every[c] / in_sample[c] if in_sample[c] else 0.0 for c in (0, 1)]
+    mean = float(np.dot(share, in_sample) / max(1, len(y)))
+    return Model(vocab, found, y, rows["doc"].to_pylist(), tuple(s / mean if mean else 0.0 for s in share), df, n, k)
 
 
 def score_toxicity(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", per_class: int = PER_CLASS, k: int = NEIGHBOURS) -> DataFrame:
@@ -206,44 +334,30 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id"
 
     neighbours: the nearest distinct vectors of the sample, each with its least doc_id, its examples and those labelled 1.
 
-    A null, empty or termless text scores the rate of label 1 among the sample's zero vectors.  Without usable
-    labels every score is 0.  A document labelled more than once counts by its largest label.  Equal texts score
-    the same; neighbours tie by their vectors.  A null id is never held out.
+    A null or empty text, or one without a term of the sample, scores by the rate of label 1 among the sample's
+    termless texts.  Without usable labels every score is the same, near 0.  A document labelled more than once counts
+    by its largest label.  Equal texts score the same; neighbours tie by their vectors.  A null id is never held out.
     """
     spark = docs.sparkSession
     id_type = "string" if dict(docs.dtypes)[id_col] == "string" else "long"
     texts = docs.select(docs[id_col].cast(id_type).alias("doc"), docs[text_col].alias("text"))
-    chosen, (all0, all1) = sample(labels.withColumn(id_col, F.col(id_col).cast(id_type)), per_class, id_col=id_col, label_col=label_col)
-    vocab = vocabulary(texts, chosen)
-    found = saved(vectors(texts, vocab), "vectors")
-    n = found.count()
-    df = found.select(F.explode("terms").alias("t")).groupBy("t").count().toArrow()  # at most a row for each term of the sample
-    df = dict(zip(df["t"].to_pylist(), df["count"].to_pylist(), strict=True))
-    idf = [(math.log((1 + n) / (1 + df.get(i, 0))) + 1) * w for i, w in enumerate(vocab.values())]
-    mine = found.join(F.broadcast(chosen), found["doc"] == chosen["doc"]).select(chosen["doc"], "k_text", "y", "terms", "counts")
-    mine = mine.groupBy("doc").agg(F.min(F.struct("k_text", "y", "terms", "counts")).alias("m")).select("doc", "m.y", "m.terms", "m.counts")
-    examples = [tuple(r) for r in mine.collect()]
-    n0, n1 = sum(1 for e in examples if not e[1]), sum(1 for e in examples if e[1])
-    share = [all0 / n0 if n0 else 0.0, all1 / n1 if n1 else 0.0]
-    mean = (n0 * share[0] + n1 * share[1]) / max(1, n0 + n1)
-    share = (share[0] / mean, share[1] / mean) if mean else (0.0, 0.0)
-    model = spark.sparkContext.broadcast(Model(idf, examples, share, k))
+    model = spark.sparkContext.broadcast(fit(texts, labels, id_col=id_col, label_col=label_col, per_class=per_class, k=k, id_type=id_type))
     arrow = pa.string() if id_type == "string" else pa.int64()
     near = pa.struct([("doc_id", arrow), ("cosine", pa.float64()), ("n", pa.int32()), ("n_toxic", pa.int32())])
     schema = pa.schema([("doc_id", arrow), ("score", pa.float64()), ("neighbours", pa.list_(near))])
 
-    def one(ids: list, terms: list, counts: list) -> dict[str, list]:
-        m, scores, evidence, seen = model.value, [], [], {}
-        for t, c in zip(terms, counts, strict=True):
-            key = (tuple(t), tuple(c))
-            if key not in seen:
-                s, got = m.score(t, c)
-                seen[key] = s, [dict(zip(("doc_id", "n", "n_toxic"), m.shown[e], strict=True), cosine=x) for e, x in got]
-            scores.append(seen[key][0])
-            evidence.append(seen[key][1])
-        return {"doc_id": ids, "score": scores, "neighbours": evidence}
-
-    # The vectors are small, so their table is few files: deal them out again, evenly.
-    dealt = found.select("doc", "terms", "counts").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")))
-    scored = map_rows(dealt, one, f"doc_id {id_type}, score double, neighbours array<struct<doc_id:{id_type},cosine:double,n:int,n_toxic:int>>", schema)
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m, known = model.value, {}  # copies of a text are scored once
+        for batch in slices(batches):
+            ids, texts = (c.to_pylist() for c in batch.columns)
+            out = []
+            for text in texts:
+                if text not in known:
+                    if len(known) >= REMEMBERED:
+                        known.clear()
+                    known[text] = m.score(text)
+                out.append(known[text])
+            yield pa.RecordBatch.from_pydict({"doc_id": ids, "score": [p for p, _ in out], "neighbours": [e for _, e in out]}, schema=schema)
+
+    scored = texts.mapInArrow(score, f"doc_id {id_type}, score double, neighbours array<struct<doc_id:{id_type},cosine:double,n:int,n_toxic:int>>")
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", "neighbours")
