@@ -6,9 +6,9 @@
 3. A term weighs tf * idf * relevance.  Relevance is how well the term tells the examples' labels apart, the root of
    its G (likelihood ratio against independence) times its log-odds, and never under ``FLOOR``, so any shared term makes
    neighbours.  Equal vectors count once, so that copies are not taken for independent evidence.
-4. Each document is a query.  Its heaviest terms are scored through their postings; what the others could add to an
-   example is bounded by the largest weights of the example's block; only examples whose bound reaches the k-th best
-   are scored, exactly.
+4. Each document is a query.  The commonest terms' lists and the heaviest others are scored first; what the rest could
+   add to an example is bounded by the largest weights of the example's block; only examples whose bound reaches the
+   k-th best are scored, exactly.
 5. The k nearest vote: cosine squared times the share of its label that an example stands for, steadied by a prior.
 6. A vote becomes a probability by a logistic curve through its log-odds, fitted on votes that each half of the examples
    got from an index of the other half.
@@ -16,11 +16,13 @@
 
 from __future__ import annotations
 
+import hashlib
 import math
 import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -35,8 +37,9 @@ BLOCK = 64
 THRESHOLD = 0.7
 #: Weight of the prior against votes; least relevance of a term; ridge of the calibration's slope.
 PRIOR_WEIGHT, FLOOR, RIDGE = 0.1, 0.01, 1.0
-#: Postings of a query that are read before bounds are looked at, and answers that a task remembers.
-FIRST_POSTINGS, REMEMBERED = 16_384, 20_000
+#: How the index works, not what it finds: commonest terms with dense lists, queries in a batch, postings of a query that
+#: are read before bounds are looked at, what single precision may hide, answers that a task remembers.
+DENSE, BATCH, FIRST_POSTINGS, ROUNDING, REMEMBERED = 512, 128, 16_384, 1e-4, 20_000
 
 _TERM = re.compile(r"[^\W\d_]+")
 
@@ -68,7 +71,7 @@ class Vectors:
         return len(self.start) - 1
 
     def rows(self) -> np.ndarray:
-        return np.repeat(np.arange(len(self)), np.diff(self.start))
+        return np.repeat(np.arange(len(self), dtype=np.int32), np.diff(self.start))
 
     def some(self, which: np.ndarray) -> Vectors:
         at = _spans(self.start[which], self.start[which + 1])
@@ -86,12 +89,25 @@ class Vectors:
 
 
 class BlockMaxIndex:
-    """Exact top-k cosine over sparse unit vectors.  Ties go to the smaller example number."""
+    """Exact top-k cosine over sparse unit vectors.  Ties go to the smaller example number.
 
-    def __init__(self, vectors: Vectors, n_terms: int, block: int = BLOCK):
+    The lists of the commonest terms are dense and are multiplied for a batch of queries at once, in single precision;
+    they and the bounds only choose candidates, with room for rounding.  A candidate's cosine is summed over its own terms.
+    """
+
+    def __init__(self, vectors: Vectors, n_terms: int, block: int = BLOCK, dense: int = DENSE):
         self.n, self.vectors, self.block = len(vectors), vectors, block
-        order = np.argsort(vectors.term, kind="stable")
-        term, self.example, self.weight = vectors.term[order], vectors.rows()[order], vectors.value[order]
+        size = np.bincount(vectors.term, minlength=n_terms)
+        common = np.argsort(-size, kind="stable")[:dense]
+        self.place = np.full(n_terms, -1, np.int32)  # of a common term among the dense lists
+        self.place[common] = np.arange(len(common))
+        mine = self.place[vectors.term] >= 0
+        rows = vectors.rows()
+        self.dense = np.zeros((len(common), self.n), np.float32)
+        self.dense[self.place[vectors.term[mine]], rows[mine]] = vectors.value[mine]
+        term, self.example, self.weight = vectors.term[~mine], rows[~mine], vectors.value[~mine]
+        order = np.argsort(term, kind="stable")
+        term, self.example, self.weight = term[order], self.example[order], self.weight[order]
         self.lists = np.searchsorted(term, np.arange(n_terms + 1))
         at = self.example // block
         # An entry for each term and block that meet: the largest weight there.
@@ -102,7 +118,7 @@ class BlockMaxIndex:
         self.top = np.zeros(n_terms)
         np.maximum.at(self.top, term, self.weight)
         self.n_blocks = -(-self.n // block)
-        self._dense = np.zeros(n_terms)
+        self._query = np.zeros(n_terms)
 
     def _sums(self, terms: np.ndarray, w: np.ndarray) -> np.ndarray:
         a, b = self.lists[terms], self.lists[terms + 1]
@@ -111,35 +127,46 @@ class BlockMaxIndex:
 
     def _exact(self, which: np.ndarray, terms: np.ndarray, w: np.ndarray) -> np.ndarray:
         """Cosines of some examples, each summed over its terms in order, whatever led to it."""
-        self._dense[terms] = w
+        self._query[terms] = w
         some = self.vectors.some(which)
-        products = self._dense[some.term] * some.value
-        self._dense[terms] = 0
+        products = self._query[some.term] * some.value
+        self._query[terms] = 0
         return np.add.reduceat(products, some.start[:-1]) if len(which) else np.zeros(0)
 
-    def search(self, terms: np.ndarray, w: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, int]:
-        """(examples, cosines) best first, and how many were scored; only examples that share a term."""
+    def search_all(self, queries: list[tuple[np.ndarray, np.ndarray]], k: int) -> Iterator[tuple[np.ndarray, np.ndarray, int]]:
+        """For each query (terms, weights; of length 1): examples and cosines best first, and how many were scored.
+
+        Only examples that share a term are near.
+        """
+        for at in range(0, len(queries), BATCH):
+            batch = queries[at : at + BATCH]
+            q = np.zeros((len(batch), len(self.dense)), np.float32)
+            for i, (terms, w) in enumerate(batch):
+                mine = self.place[terms] >= 0
+                q[i, self.place[terms[mine]]] = w[mine]
+            for (terms, w), low in zip(batch, q @ self.dense, strict=True):
+                yield self._search(terms, w, low, k)
+
+    def _bar(self, low: np.ndarray, k: int) -> float:
+        return float(np.partition(low, self.n - k)[self.n - k]) if k < self.n else 0.0
+
+    def _search(self, terms: np.ndarray, w: np.ndarray, low: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, int]:
+        """low: what the dense lists have given each example."""
         size = self.lists[terms + 1] - self.lists[terms]
-        terms, w, size = terms[size > 0], w[size > 0], size[size > 0]
-        order = np.argsort(-w * self.top[terms], kind="stable")
-        m = max(1, int(np.searchsorted(np.cumsum(size[order]), FIRST_POSTINGS, side="right")))
+        lists, by = terms[size > 0], w[size > 0]
+        order = np.argsort(-by * self.top[lists], kind="stable")
+        m = int(np.searchsorted(np.cumsum(size[size > 0][order]), FIRST_POSTINGS, side="right"))
         lead, rest = order[:m], order[m:]
-        low = self._sums(terms[lead], w[lead])
-        slack = 1 + 1e-9
+        low = low + self._sums(lists[lead], by[lead]) if m else low
+        high = low
         if len(rest):
-            entry = _spans(self.entries[terms[rest]], self.entries[terms[rest] + 1])
-            gain = np.repeat(w[rest], self.entries[terms[rest] + 1] - self.entries[terms[rest]]) * self.entry_top[entry]
-            bound = np.bincount(self.entry_block[entry], gain, minlength=self.n_blocks)
-            high = low + np.repeat(bound, self.block)[: self.n]
-            bar = np.partition(low, self.n - k)[self.n - k] if k < self.n else 0.0
-            which = np.flatnonzero((high * slack >= bar) & (high > 0))
-            if len(which) > 8 * k + self.n // 16:  # bounds tell little apart: read the other postings too
-                low = low + self._sums(terms[rest], w[rest])
-                bar = np.partition(low, self.n - k)[self.n - k] if k < self.n else 0.0
-                which = np.flatnonzero((low * slack >= bar) & (low > 0))
-        else:
-            bar = np.partition(low, self.n - k)[self.n - k] if k < self.n else 0.0
-            which = np.flatnonzero((low * slack >= bar) & (low > 0))
+            entry = _spans(self.entries[lists[rest]], self.entries[lists[rest] + 1])
+            gain = np.repeat(by[rest], self.entries[lists[rest] + 1] - self.entries[lists[rest]]) * self.entry_top[entry]
+            high = low + np.repeat(np.bincount(self.entry_block[entry], gain, minlength=self.n_blocks), self.block)[: self.n]
+        which = np.flatnonzero(high >= self._bar(low, k) - ROUNDING)
+        if len(rest) and len(which) > 4 * k:  # the bounds tell little apart: read the other postings too
+            low = low + self._sums(lists[rest], by[rest])
+            which = np.flatnonzero(low >= self._bar(low, k) - ROUNDING)
         score = self._exact(which, terms, w)
         which, score = which[score > 0], score[score > 0]
         best = np.lexsort((which, -score))[:k]
@@ -183,15 +210,21 @@ class Voters:
         self.weight = idf * relevance(mine, share >= 0.5, len(idf))
         self.index = BlockMaxIndex(mine.weighted(self.weight), len(idf))
 
-    def vote(self, terms: np.ndarray, counts: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
-        """(share of label 1 among the nearest, their numbers, their cosines)."""
-        w = (1 + np.log(counts)) * self.weight[terms]
-        if not len(terms) or not self.index.n:
-            return self.prior, np.zeros(0, np.int64), np.zeros(0)
-        near, cosine, _ = self.index.search(terms, w / math.sqrt(math.fsum(w * w)), self.k)
-        pull = cosine * cosine
-        toxic, every = (math.fsum(pull * self.votes[near, j]) for j in (0, 1))
-        return (toxic + PRIOR_WEIGHT * self.prior) / (every + PRIOR_WEIGHT), self.which[near], cosine
+    def votes_of(self, texts: list[tuple[np.ndarray, np.ndarray]]) -> list[tuple[float, np.ndarray, np.ndarray]]:
+        """Of each (terms, counts): share of label 1 among the nearest, their numbers, their cosines."""
+        none = (self.prior, np.zeros(0, np.int64), np.zeros(0))
+        if not self.index.n:
+            return [none] * len(texts)
+        queries = []
+        for terms, counts in texts:
+            w = (1 + np.log(counts)) * self.weight[terms]
+            queries.append((terms, w / max(math.sqrt(math.fsum(w * w)), 1e-300)))
+        out = []
+        for (terms, _), (near, cosine, _) in zip(texts, self.index.search_all(queries, self.k), strict=True):
+            pull = cosine * cosine
+            toxic, every = (math.fsum(pull * self.votes[near, j]) for j in (0, 1))
+            out.append(((toxic + PRIOR_WEIGHT * self.prior) / (every + PRIOR_WEIGHT), self.which[near], cosine) if len(terms) else none)
+        return out
 
 
 def _log_odds(p: np.ndarray) -> np.ndarray:
@@ -224,7 +257,7 @@ class Model:
         self.number = {t: i for i, t in enumerate(vocab)}
         groups: dict[bytes, list[int]] = {}
         for i, (a, b) in enumerate(zip(found.start[:-1].tolist(), found.start[1:].tolist(), strict=True)):
-            groups.setdefault(found.term[a:b].astype(np.int64).tobytes() + found.value[a:b].astype(np.int64).tobytes(), []).append(i)
+            groups.setdefault(hashlib.blake2b(found.term[a:b].tobytes() + found.value[a:b].tobytes(), digest_size=16).digest(), []).append(i)
         # Equal vectors are one example with all their labels: no tie between them is broken by an id.
         members = [groups[key] for key in sorted(groups)]
         distinct = found.some(np.array([m[0] for m in members], np.int64))
@@ -232,26 +265,31 @@ class Model:
         votes = np.array([[math.fsum(weigh[i] for i in m if labels[i]), math.fsum(weigh[i] for i in m)] for m in members]).reshape(len(members), 2)
         self.shown = [(min(docs[i] for i in m), len(m), int(labels[m].sum())) for m in members]
         idf = np.log((1 + n) / (1 + df)) + 1
-        self.voters = Voters(distinct, votes, idf, k)
         # Each half's votes from the other half; halves by position, which has nothing to do with labels.
         raw, side = np.zeros(len(members)), np.arange(len(members)) % 2
         for s in (0, 1):
             others = Voters(distinct.some(np.flatnonzero(side != s)), votes[side != s], idf, k)
-            for i in np.flatnonzero(side == s).tolist():
-                at = slice(distinct.start[i], distinct.start[i + 1])
-                raw[i] = others.vote(distinct.term[at], distinct.value[at])[0]
+            asked = [(distinct.term[a:b], distinct.value[a:b]) for a, b in zip(distinct.start[:-1][side == s].tolist(), distinct.start[1:][side == s].tolist(), strict=True)]
+            raw[side == s] = [vote for vote, _, _ in others.votes_of(asked)]
+            del others  # one index at a time
+        self.voters = Voters(distinct, votes, idf, k)
         self.slope, self.offset = calibration(raw, votes[:, 0], votes[:, 1])
 
-    def vector(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
-        number = self.number
-        got = sorted((number[t], n) for t, n in Counter(terms_of(text)).items() if t in number)
-        return np.array([t for t, _ in got], np.int64), np.array([n for _, n in got], np.float64)
-
-    def score(self, text: str | None) -> tuple[float, list[dict]]:
-        vote, near, cosine = self.voters.vote(*self.vector(text))
-        p = float(1 / (1 + np.exp(-(self.slope * _log_odds(np.array(vote)) + self.offset))))
+    def score_all(self, texts: list[str | None]) -> list[tuple[float, list[dict]]]:
+        found = self.voters.votes_of([np.unique(c, return_counts=True) for c in codes_of(texts, self.number)])
+        p = 1 / (1 + np.exp(-(self.slope * _log_odds(np.array([vote for vote, _, _ in found])) + self.offset)))
         names = ("doc_id", "n", "n_toxic")
-        return p, [dict(zip(names, self.shown[e], strict=True), cosine=c) for e, c in zip(near.tolist(), cosine.tolist(), strict=True)]
+        shown = [[dict(zip(names, self.shown[e], strict=True), cosine=c) for e, c in zip(near.tolist(), cosine.tolist(), strict=True)] for _, near, cosine in found]
+        return list(zip(p.tolist(), shown, strict=True))
+
+
+def codes_of(texts: list[str | None], number: dict[str, int]) -> Iterator[np.ndarray]:
+    """Of each text, the numbers of its terms that have one."""
+    get = number.get
+    for text in texts:
+        terms = terms_of(text)
+        got = np.fromiter(map(get, terms, repeat(-1)), np.int32, len(terms))
+        yield got[got >= 0]
 
 
 def _labelled(labels: DataFrame, id_col: str, label_col: str) -> DataFrame:
@@ -285,6 +323,21 @@ def examples(docs: DataFrame, chosen: DataFrame, id_type: str) -> pa.Table:
     return rows.groupBy("doc").agg(F.min(F.struct("terms", "counts", "y")).alias("m")).select("doc", "m.y", "m.terms", "m.counts").toArrow().sort_by("doc")
 
 
+def encoded(terms: pa.ChunkedArray, counts: pa.ChunkedArray) -> tuple[list[str], Vectors]:
+    """(all terms in order, the rows with terms as their places).  Terms of a row are in order, so their places are too."""
+    if not len(terms):
+        return [], Vectors(np.zeros(1, np.int64), np.zeros(0, np.int32), np.zeros(0))
+    terms, counts = terms.combine_chunks(), counts.combine_chunks()
+    words = terms.flatten().dictionary_encode()
+    spelt = words.dictionary.to_pylist()
+    order = sorted(range(len(spelt)), key=spelt.__getitem__)
+    place = np.empty(len(order), np.int32)
+    place[order] = np.arange(len(order), dtype=np.int32)
+    codes = place[words.indices.to_numpy(zero_copy_only=False)] if len(spelt) else np.zeros(0, np.int32)
+    start = np.r_[0, np.cumsum(terms.value_lengths().to_numpy(zero_copy_only=False))].astype(np.int64)
+    return [spelt[i] for i in order], Vectors(start, codes, counts.flatten().to_numpy(zero_copy_only=False).astype(float))
+
+
 def document_frequencies(docs: DataFrame, vocab: list[str]) -> tuple[np.ndarray, int]:
     """(documents with each term of the vocabulary, all documents): counted in each task, then summed by term."""
     shared = docs.sparkSession.sparkContext.broadcast({t: i for i, t in enumerate(vocab)})
@@ -293,15 +346,14 @@ def document_frequencies(docs: DataFrame, vocab: list[str]) -> tuple[np.ndarray,
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number, seen = shared.value, np.zeros(len(shared.value) + 1, np.int64)
         for batch in slices(batches):
-            got: Counter[int] = Counter()
-            for text in batch.column(0).to_pylist():
-                got.update(number[t] for t in set(terms_of(text)) if t in number)
-            seen[list(got.keys())] += list(got.values())
+            once = [np.unique(c) for c in codes_of(batch.column(0).to_pylist(), number)]
+            seen[:-1] += np.bincount(np.concatenate(once), minlength=len(number))
             seen[-1] += batch.num_rows
         some = np.flatnonzero(seen)
         yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(seen[some])], schema=schema)
 
     told = docs.select("text").mapInArrow(count, "term int, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow()
+    shared.destroy()
     seen = np.zeros(len(vocab) + 1, np.int64)
     seen[told["term"].to_numpy()] = told["n"].to_numpy()
     return seen[:-1].astype(float), int(seen[-1])
@@ -311,16 +363,8 @@ def fit(docs: DataFrame, labels: DataFrame, *, id_col: str, label_col: str, per_
     """docs: doc, text."""
     chosen, every = sample(labels.withColumn(id_col, F.col(id_col).cast(id_type)), per_class, id_col=id_col, label_col=label_col)
     rows = examples(docs, chosen, id_type)
-    terms, counts = (pa.chunked_array(rows[c].chunks, rows.schema.field(c).type).combine_chunks() for c in ("terms", "counts"))
-    words = terms.flatten().dictionary_encode()
-    order = np.argsort(np.array(words.dictionary.to_pylist(), object), kind="stable") if len(words) else np.zeros(0, np.int64)
-    place = np.empty(len(order), np.int64)
-    place[order] = np.arange(len(order))
-    vocab = words.dictionary.take(pa.array(order)).to_pylist() if len(words) else []
-    # Terms of a row are in order of their text, so their numbers are in order too.
-    codes = place[words.indices.to_numpy(zero_copy_only=False)] if len(words) else np.zeros(0, np.int64)
-    start = np.r_[0, np.cumsum(terms.value_lengths().to_numpy(zero_copy_only=False))].astype(np.int64) if len(rows) else np.zeros(1, np.int64)
-    found = Vectors(start, codes, counts.flatten().to_numpy(zero_copy_only=False).astype(float))
+    vocab, found = encoded(rows["terms"], rows["counts"])
+    rows = rows.select(["doc", "y"])
     df, n = document_frequencies(docs, vocab)
     y = rows["y"].to_numpy().astype(np.int64)
     in_sample = np.bincount(y, minlength=2)
@@ -350,13 +394,11 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id"
         m, known = model.value, {}  # copies of a text are scored once
         for batch in slices(batches):
             ids, texts = (c.to_pylist() for c in batch.columns)
-            out = []
-            for text in texts:
-                if text not in known:
-                    if len(known) >= REMEMBERED:
-                        known.clear()
-                    known[text] = m.score(text)
-                out.append(known[text])
+            new = [t for t in dict.fromkeys(texts) if t not in known]
+            if len(known) + len(new) > REMEMBERED:
+                known, new = {}, list(dict.fromkeys(texts))
+            known |= zip(new, m.score_all(new), strict=True)
+            out = [known[t] for t in texts]
             yield pa.RecordBatch.from_pydict({"doc_id": ids, "score": [p for p, _ in out], "neighbours": [e for _, e in out]}, schema=schema)
 
     scored = texts.mapInArrow(score, f"doc_id {id_type}, score double, neighbours array<struct<doc_id:{id_type},cosine:double,n:int,n_toxic:int>>")
