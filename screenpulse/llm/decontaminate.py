@@ -1,17 +1,19 @@
 """Benchmark decontamination: one Aho-Corasick automaton over the normalised test items.
 
-Text is lower-cased (A-Z) and cut into words of letters, digits and non-ASCII characters, one space between them.
-Every run of ``window`` item words is a key of the automaton; a document goes through it once.  Matches are mapped
-back to word numbers and to character offsets of the original text.
-
-Items are collected in blocks of at most ``block_windows`` windows, one automaton each (some 3 kB a window).  A benchmark of one block - the usual case - needs no shuffle at all; further blocks are scanned in turn
-and their word runs merged by document.
+Text is lower-cased (A-Z) and cut into words of letters, digits and non-ASCII characters.  The automaton's letters are
+the numbers of the items' words; its keys are every run of ``window`` words of an item (some 0.4 kB each).  It is built
+once, broadcast and loaded once by each worker; a document goes through it once.  Stretches in which it can't reach
+the end of a key aren't fed to it: those where a word, or two words side by side, stand in no item.  Matches are
+mapped back to word numbers and to character offsets of the original text.
+
+Benchmarks of up to ``most_windows`` are one automaton and need no shuffle.  A larger one is beyond what is broadcast:
+its items are dealt into automata of that size, scanned in turn, and the word runs are merged by document.
 """
 
 from __future__ import annotations
 
 import re
-import uuid
+from itertools import repeat
 
 import ahocorasick
 import numpy as np
@@ -22,13 +24,12 @@ from pyspark.sql import functions as F
 from .common import map_rows, rows_with_key, text_key
 
 WINDOW = 10
-BLOCK_WINDOWS = 20_000
+MOST_WINDOWS = 1_000_000
 
 _SEPARATORS = [*range(0x30), *range(0x3A, 0x61), *range(0x7B, 0x80)]
 #: Over UTF-8 bytes: A-Z to a-z, other separators to a space.
 _FOLD = bytes(c + 32 if 0x41 <= c <= 0x5A else 0x20 if c in _SEPARATORS else c for c in range(256))
 _WORD = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
-_BUILT: dict[str, object] = {}
 
 
 def words(text: str | None) -> list[bytes]:
@@ -42,48 +43,56 @@ def windows(item: list[bytes], window: int = WINDOW) -> list[tuple[bytes, ...]]:
     return [tuple(item[i : i + window]) for i in range(max(1, len(item) - window + 1))]
 
 
-def build(items: list[tuple[str, str | None]], window: int):
-    """The automaton over windows as texts " w1 w2 ... "; its values are (number of words, item ids)."""
-    keys: dict[tuple[bytes, ...], set[str]] = {}
-    for item_id, text in items:
-        for w in windows(words(text), window):
-            keys.setdefault(w, set()).add(item_id)
-    if not keys:
-        return None
-    automaton = ahocorasick.Automaton(ahocorasick.STORE_ANY)
-    for key, ids in keys.items():
-        automaton.add_word(normal(key), (len(key), tuple(sorted(ids))))
-    automaton.make_automaton()
-    return automaton
-
-
-def normal(found: list[bytes] | tuple[bytes, ...]) -> str:
-    """One letter a byte, a space around each word: a match of a window starts and ends with whole words."""
-    return (b" " + b" ".join(found) + b" ").decode("latin-1")
-
-
-def _ready(name: str, items: list, window: int):
-    if name not in _BUILT:
-        _BUILT.clear()
-        _BUILT[name] = build(items, window)
-    return _BUILT[name]
-
-
-def scan(text: str | None, automaton) -> tuple[int, list[tuple[int, int]], set[str]]:
+class Windows:
+    """The automaton, what leads to it, and the items of its keys."""
+
+    def __init__(self, items: list[tuple[str, str | None]], window: int):
+        """items: (id, text).  Keys of one word need no automaton: they are their word."""
+        self.number: dict[bytes, int] = {}  # of the items' words, from 1
+        keys: dict[tuple[int, ...], set[str]] = {}
+        for item_id, text in items:
+            for w in windows(words(text), window):
+                keys.setdefault(tuple(self.number.setdefault(x, len(self.number) + 1) for x in w), set()).add(item_id)
+        self.items = [tuple(sorted(ids)) for ids in keys.values()]
+        self.lengths = [len(k) for k in keys]
+        self.single = np.full(len(self.number) + 1, -1, np.int64)
+        self.automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS, ahocorasick.KEY_SEQUENCE)
+        for n, key in enumerate(keys):
+            if len(key) == 1:
+                self.single[key[0]] = n
+            else:
+                self.automaton.add_word(key, n)
+        self.least = min((n for n in self.lengths if n > 1), default=0)
+        if self.least:
+            self.automaton.make_automaton()
+        neighbours = {a << 32 | b for key in keys for a, b in zip(key[:-1], key[1:], strict=True)}
+        self.neighbours = np.array(sorted(neighbours), np.int64)
+
+    def matches(self, codes: np.ndarray) -> list[tuple[int, int]]:
+        """(end, key number) of every key in a sequence of word numbers; 0 is a word of no item."""
+        alone = self.single[codes]
+        at = np.flatnonzero(alone >= 0)
+        found = list(zip((at + 1).tolist(), alone[at].tolist(), strict=True))
+        if not self.least or len(codes) < self.least:
+            return found
+        pairs = codes[:-1].astype(np.int64) << 32 | codes[1:]
+        place = np.minimum(np.searchsorted(self.neighbours, pairs), len(self.neighbours) - 1)
+        known = np.r_[False, self.neighbours[place] == pairs, False]
+        turn = np.flatnonzero(known[1:] != known[:-1])  # runs of known neighbours: words turn[0]..turn[1] and so on
+        for a, b in zip(turn[::2].tolist(), turn[1::2].tolist(), strict=True):
+            if b - a + 1 >= self.least:
+                found += [(a + end + 1, n) for end, n in self.automaton.iter(tuple(codes[a : b + 1].tolist()))]
+        return found
+
+
+def scan(text: str | None, known: Windows) -> tuple[int, list[tuple[int, int]], set[str]]:
     """(number of words, runs of hit words as [first, end), items that occur)."""
-    found, items = words(text), set()
-    if automaton is None or not found:
-        return len(found), [], items
-    ends, lengths = [], []
-    for end, (length, ids) in automaton.iter(text := normal(found)):
-        items.update(ids)
-        ends.append(end)
-        lengths.append(length)
-    if not ends:
-        return len(found), [], items
-    spaces = np.flatnonzero(np.frombuffer(text.encode("latin-1"), np.uint8) == 0x20)
-    last = np.searchsorted(spaces, ends).tolist()  # the space after a word has the word's number, from 1
-    return len(found), merged([(e - n, e) for e, n in zip(last, lengths, strict=True)]), items
+    found = words(text)
+    codes = np.fromiter(map(known.number.get, found, repeat(0)), np.int64, len(found))
+    if not codes.any():
+        return len(found), [], set()
+    hits = known.matches(codes)
+    return len(found), merged([(end - known.lengths[n], end) for end, n in hits]), {i for _, n in hits for i in known.items[n]}
 
 
 def merged(runs: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -110,13 +119,11 @@ def _schema(id_type: pa.DataType) -> pa.Schema:
     return pa.schema([("doc_id", id_type), ("k_text", pa.int64()), ("n_words", pa.int64()), ("runs", pair("first", "end")), ("items", pa.list_(pa.string())), ("spans", pair("start", "end"))])
 
 
-def _block(docs: DataFrame, items: DataFrame, name: str, window: int, id_type: str) -> DataFrame:
-    rows = [(r["item"], r["text"]) for r in items.collect()]
-    shared = docs.sparkSession.sparkContext.broadcast(rows)
+def _block(docs: DataFrame, items: DataFrame, window: int, id_type: str) -> DataFrame:
+    known = docs.sparkSession.sparkContext.broadcast(Windows([(r["item"], r["text"]) for r in items.collect()], window))
 
     def one(ids: list, keys: list, texts: list) -> dict[str, list]:
-        automaton = _ready(name, shared.value, window)
-        out = [scan(t, automaton) for t in texts]
+        out = [scan(t, known.value) for t in texts]
         return {
             "doc_id": ids, "k_text": keys, "n_words": [n for n, _, _ in out],
             "runs": [[{"first": a, "end": b} for a, b in runs] for _, runs, _ in out],
@@ -127,7 +134,7 @@ def _block(docs: DataFrame, items: DataFrame, name: str, window: int, id_type: s
     return map_rows(docs, one, _DDL.format(id=id_type), _schema(pa.string() if id_type == "string" else pa.int64()))
 
 
-def find_contamination(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW, block_windows: int = BLOCK_WINDOWS) -> DataFrame:
+def find_contamination(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW, most_windows: int = MOST_WINDOWS) -> DataFrame:
     """A row for each document row: doc_id, k_text, n_words, runs, items, spans.
 
     runs: hit words as [first, end) word numbers.  spans: the same as code-point offsets.  items: ids (as
@@ -138,10 +145,8 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "
     id_type = "string" if dict(docs.dtypes)[id_col] == "string" else "long"
     texts = docs.select(docs[id_col].cast(id_type).alias("doc_id"), text_key(docs[text_col]).alias("k_text"), docs[text_col].alias("text"))
     items = benchmark.select(F.coalesce(benchmark[item_col].cast("string"), F.lit("null")).alias("item"), benchmark[item_text_col].alias("text"), F.xxhash64(benchmark[item_text_col]).alias("h"))
-    size = items.agg(F.sum(F.length("text"))).first()[0] or 0
-    blocks = max(1, -(-size // (2 * block_windows)))  # two characters a window at least
-    blocks = 1 if blocks > 1 and _n_windows(items, window) <= block_windows else blocks
-    found = [_block(texts, items.where(F.pmod("h", F.lit(blocks)) == b) if blocks > 1 else items, uuid.uuid4().hex, window, id_type) for b in range(blocks)]
+    blocks = max(1, -(-_n_windows(items, window) // most_windows))
+    found = [_block(texts, items.where(F.pmod("h", F.lit(blocks)) == b) if blocks > 1 else items, window, id_type) for b in range(blocks)]
     if blocks == 1:
         return found[0]
     every = found[0]

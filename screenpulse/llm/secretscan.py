@@ -2,9 +2,9 @@
 
 Each rule's regular expression is analysed once: the strings that any match must hold give a Boolean query of
 trigrams (letters folded to lower case), as ORs of ANDs.  Documents are indexed by segment - one slice of rows, in
-the scan itself: for each trigram that some query names, the postings of the documents that hold it.  A rule's query
-intersects and unites postings, and only the candidates are verified with the expression.  A rule from which no
-mandatory trigram follows scans its segment fully.
+the scan itself: one pass over the folded bytes finds every place of a trigram that some query names, and makes the
+postings, for each trigram the documents that hold it.  A rule's query intersects and unites postings, and only the
+candidates are verified with the expression.  A rule from which no mandatory trigram follows scans its segment fully.
 
 The index of a segment lives as long as the segment is scanned, so the scan shuffles and stores nothing;
 ``postings`` returns the same index as a table, for a corpus that is searched again.
@@ -13,9 +13,6 @@ The index of a segment lives as long as the segment is scanned, so the scan shuf
 from __future__ import annotations
 
 import re
-import re._constants as sre
-import re._parser as sre_parse
-from collections.abc import Callable
 from dataclasses import dataclass
 from itertools import product
 
@@ -26,8 +23,11 @@ from pyspark.sql import functions as F
 
 from .common import map_rows, text_key
 
-#: Most strings that the analysis holds for one place of an expression.
-MAX_STRINGS = 64
+#: Most strings that the analysis holds for one place of an expression, most characters of a class, and times an item may
+#: be repeated to be spelt out.
+MAX_STRINGS, MAX_CLASS, MAX_TIMES = 64, 8, 8
+#: Bytes of a segment that are looked at together.
+CHUNK = 4 << 20
 
 
 @dataclass(frozen=True)
@@ -57,79 +57,163 @@ RULES = BASE + MORE
 Query = list[frozenset[bytes]]
 
 
-def trigram_query(pattern: str, flags: int = 0) -> Query | None:
-    """An OR of ANDs of trigrams that every match holds; None if none is mandatory."""
-    best: list[Query] = []
+# --- from an expression to a query
 
-    def flush(strings: set[str]) -> None:
-        """All strings here are mandatory, one of them."""
-        grams = [frozenset(s[i : i + 3].lower().encode() for i in range(len(s) - 2)) for s in strings]
-        if strings and all(grams):
-            best.append(_least(grams))
+class _Reader:
+    """The syntax that rules use: literals, escapes, classes, groups, alternatives, repeats.
+
+    Nodes: ("set", characters or None for many), ("seq", nodes), ("alt", nodes), ("rep", node, least, most or None).
+    """
 
-    def exact(items) -> set[str] | None:
-        """All strings of a sequence, if they are few; flushes none."""
+    def __init__(self, pattern: str):
+        self.p, self.at = pattern, 0
+
+    def more(self) -> str:
+        return self.p[self.at : self.at + 1]
+
+    def take(self) -> str:
+        self.at += 1
+        return self.p[self.at - 1]
+
+    def alternatives(self) -> tuple:
+        found = [self.sequence()]
+        while self.more() == "|":
+            self.take()
+            found.append(self.sequence())
+        return found[0] if len(found) == 1 else ("alt", found)
+
+    def sequence(self) -> tuple:
+        out = []
+        while self.more() not in ("", "|", ")"):
+            out.append(self.repeated(self.item()))
+        return ("seq", out)
+
+    def escape(self) -> frozenset[str] | None:
+        c = self.take()
+        if c == "x":
+            self.at += 2
+            return frozenset(chr(int(self.p[self.at - 2 : self.at], 16)))
+        if c in "nrtfv":
+            return frozenset({"n": "\n", "r": "\r", "t": "\t", "f": "\f", "v": "\v"}[c])
+        if c.isalnum():
+            raise ValueError(f"\\{c}")  # a kind of character or a place
+        return frozenset(c)
+
+    def item(self) -> tuple:
+        c = self.take()
+        if c == "(":
+            if self.p.startswith("?:", self.at):
+                self.at += 2
+            elif self.more() == "?":
+                raise ValueError("a group with an option")
+            inner = self.alternatives()
+            self.take()
+            return inner
+        if c == "[":
+            return ("set", self.characters())
+        if c == ".":
+            return ("set", None)
+        if c in "^$":
+            return ("seq", [])
+        if c == "\\":
+            return ("set", self.escape())
+        return ("set", frozenset(c))
+
+    def characters(self) -> frozenset[str] | None:
+        many = self.more() == "^"
+        self.at += many
+        out: set[str] = set()
+        first = True
+        while first or self.more() != "]":
+            first, c = False, self.take()
+            if c == "\\":
+                if self.more() in "sSwWdD":
+                    many, got = True, self.take()
+                else:
+                    (got,) = self.escape()
+            else:
+                got = c
+            if self.more() == "-" and self.p[self.at + 1 : self.at + 2] not in ("]", ""):
+                self.take()
+                high = self.take()
+                out.update(map(chr, range(ord(got), ord(high) + 1)))
+            else:
+                out.add(got)
+        self.take()
+        folded = {c.lower() for c in out}
+        return None if many or len(folded) > MAX_CLASS or any(ord(c) > 127 for c in out) else frozenset(folded)
+
+    def repeated(self, node: tuple) -> tuple:
+        c, bounds = self.more(), None
+        if c in ("?", "*", "+"):
+            self.take()
+            bounds = {"?": (0, 1), "*": (0, None), "+": (1, None)}[c]
+        elif c == "{" and (m := re.compile(r"\{([0-9]*)(,?)([0-9]*)\}").match(self.p, self.at)):
+            self.at = m.end()
+            least = int(m[1] or 0)
+            bounds = (least, int(m[3]) if m[3] else None if m[2] else least)
+        if bounds is None:
+            return node
+        if self.more() in ("?", "+"):  # lazy or possessive: the same strings
+            self.take()
+        return ("rep", node, *bounds)
+
+
+def _spelt(node: tuple) -> set[str] | None:
+    """All strings of a node, in lower case, if they are few."""
+    if node[0] == "set":
+        return None if node[1] is None or any(ord(c) > 127 for c in node[1]) else {c.lower() for c in node[1]}
+    if node[0] == "alt":
+        found = [_spelt(n) for n in node[1]]
+        return None if None in found else set().union(*found)
+    if node[0] == "seq":
         out = {""}
-        for op, arg in items:
-            some = one(op, arg)
+        for n in node[1]:
+            some = _spelt(n)
             if some is None or len(out) * len(some) > MAX_STRINGS:
                 return None
             out = {a + b for a, b in product(out, some)}
         return out
-
-    def one(op, arg) -> set[str] | None:
-        if op is sre.LITERAL:
-            return {chr(arg)} if arg < 128 else None
-        if op is sre.IN:
-            chars: set[str] = set()
-            for kind, x in arg:
-                if kind is sre.LITERAL and x < 128:
-                    chars.add(chr(x))
-                elif kind is sre.RANGE and x[1] < 128 and x[1] - x[0] < 8:
-                    chars.update(map(chr, range(x[0], x[1] + 1)))
-                else:
-                    return None
-            return {c.lower() for c in chars} if len(chars) <= 8 else None
-        if op is sre.SUBPATTERN:
-            return exact(arg[3])
-        if op is sre.BRANCH:
-            found = [exact(b) for b in arg[1]]
-            return None if any(f is None for f in found) else set().union(*found)
-        if op in (sre.MAX_REPEAT, sre.MIN_REPEAT, sre.POSSESSIVE_REPEAT):
-            low, high, item = arg
-            inner = exact(item)
-            if inner is None or high is sre.MAXREPEAT or high > 8:
-                return None
-            out: set[str] = set()
-            for n in range(low, high + 1):
-                if len(inner) ** n > MAX_STRINGS:
-                    return None
-                out |= {"".join(p) for p in product(inner, repeat=n)}
-            return out
-        if op is sre.AT:
-            return {""}
+    _, inner, least, most = node
+    some = _spelt(inner)
+    if some is None or most is None or most > MAX_TIMES or len(some) ** most > MAX_STRINGS:
         return None
+    return {"".join(x) for n in range(least, most + 1) for x in product(some, repeat=n)}
+
 
-    def walk(items) -> None:
+def trigram_query(pattern: str, flags: int = 0) -> Query | None:
+    """An OR of ANDs of trigrams that every match holds; None if none is mandatory."""
+    mandatory: list[Query] = []
+
+    def flush(strings: set[str]) -> None:
+        """A match holds one of these strings."""
+        grams = [frozenset(s[i : i + 3].encode() for i in range(len(s) - 2)) for s in strings]
+        if strings and all(grams):
+            mandatory.append(_least(grams))
+
+    def walk(node: tuple) -> None:
         held = {""}
-        for op, arg in items:
-            some = one(op, arg)
+        for n in node[1] if node[0] == "seq" else [node]:
+            some = _spelt(n)
             if some is not None and len(held) * len(some) <= MAX_STRINGS:
                 held = {a + b for a, b in product(held, some)}
                 continue
             flush(held)
-            held = {""} if some is None else some
-            if some is None and op is sre.SUBPATTERN:
-                walk(arg[3])
-            elif some is None and op in (sre.MAX_REPEAT, sre.MIN_REPEAT, sre.POSSESSIVE_REPEAT) and arg[0] >= 1:
-                walk(arg[2])
+            held = some or {""}
+            if some is None and n[0] == "seq":
+                walk(n)
+            elif some is None and n[0] == "rep" and n[2] >= 1:
+                walk(n[1])
         flush(held)
 
-    walk(sre_parse.parse(pattern, flags))
-    if not best:
+    try:
+        walk(_Reader(pattern).alternatives())
+    except ValueError:
+        return None  # syntax that isn't analysed: the rule scans fully
+    if not mandatory:
         return None
-    out = best[0]
-    for q in best[1:]:
+    out = mandatory[0]
+    for q in mandatory[1:]:
         if len(out) * len(q) <= MAX_STRINGS:
             out = _least([a | b for a, b in product(out, q)])
     return out
@@ -140,37 +224,71 @@ def _least(grams: list[frozenset[bytes]]) -> Query:
     return sorted({g for g in grams if not any(h < g for h in grams)}, key=sorted)
 
 
-def candidates(query: Query | None, postings: Callable[[bytes], np.ndarray], n: int) -> np.ndarray:
-    """Numbers of the documents that may match."""
-    if query is None:
-        return np.arange(n)
-    found = np.zeros(n, bool)
-    for grams in query:
-        have = ~found
-        for g in sorted(grams):
-            have &= postings(g)
-            if not have.any():
-                break
-        found |= have
-    return np.flatnonzero(found)
-
-
-class Segment:
-    """Postings of the trigrams that are asked for, over the folded texts of one slice."""
-
-    def __init__(self, texts: list[str]):
-        self.folded = [t.encode("utf-8", "surrogatepass").lower() for t in texts]
-        self.lists: dict[bytes, np.ndarray] = {}
-
-    def __call__(self, gram: bytes) -> np.ndarray:
-        if gram not in self.lists:
-            self.lists[gram] = np.fromiter((gram in f for f in self.folded), bool, len(self.folded))
-        return self.lists[gram]
-
-
-def _compiled(rules: tuple[Rule, ...]) -> list[tuple[Rule, re.Pattern, Query | None]]:
-    # ASCII: "either case" means A-Z and a-z, not letters that fold to them.
-    return [(r, re.compile(r.pattern, r.flags | re.A if r.flags & re.I else r.flags), trigram_query(r.pattern, r.flags)) for r in rules]
+# --- postings of a segment
+
+class Index:
+    """Trigrams that queries name, and how to find them: a table over all trigrams of bytes."""
+
+    def __init__(self, queries: list[Query | None]):
+        self.grams = sorted({g for q in queries if q for grams in q for g in grams})
+        self.number = {g: i for i, g in enumerate(self.grams)}
+        self.table = np.full(1 << 24, -1, np.int16)
+        for g, i in self.number.items():
+            self.table[int.from_bytes(g, "big")] = i
+
+    def postings(self, texts: list[str]) -> list[np.ndarray]:
+        """For each trigram the numbers of the texts that hold it, ascending; one pass over the texts."""
+        pairs, held, size, n = [], [], 0, max(1, len(texts))
+        for i, text in enumerate(texts):
+            held.append((i, text.encode("utf-8", "surrogatepass").lower()))
+            size += len(held[-1][1])
+            if size >= CHUNK or i == len(texts) - 1:
+                pairs.append(self._found(held, n))
+                held, size = [], 0
+        every = np.unique(np.concatenate(pairs)) if pairs else np.zeros(0, np.int64)
+        return [x % n for x in np.split(every, np.searchsorted(every, np.arange(1, len(self.grams)) * n))] if self.grams else []
+
+    def _found(self, held: list[tuple[int, bytes]], n: int) -> np.ndarray:
+        """trigram * texts + text of what stands in some texts; a NUL parts them."""
+        raw = np.frombuffer(b"\0".join(b for _, b in held), np.uint8)
+        if len(raw) < 3 or not self.grams:
+            return np.zeros(0, np.int64)
+        code = raw[:-2].astype(np.int32)
+        code <<= 8
+        code |= raw[1:-1]
+        code <<= 8
+        code |= raw[2:]
+        gram = self.table[code]
+        at = np.flatnonzero(gram >= 0)
+        ends = np.cumsum([len(b) + 1 for _, b in held])
+        text = np.array([i for i, _ in held])[np.searchsorted(ends, at, side="right")]
+        return np.unique(gram[at].astype(np.int64) * n + text)
+
+    def candidates(self, query: Query | None, postings: list[np.ndarray], n: int) -> np.ndarray:
+        """Numbers of the texts that may match: the union of the intersections."""
+        if query is None:
+            return np.arange(n)
+        found = [np.zeros(0, np.int64)]
+        for grams in query:
+            lists = sorted((postings[self.number[g]] for g in grams), key=len)
+            both = lists[0]
+            for other in lists[1:]:
+                if not len(both):
+                    break
+                both = np.intersect1d(both, other, assume_unique=True)
+            found.append(both)
+        return np.unique(np.concatenate(found))
+
+
+class Compiled:
+    """Rules with their expressions, queries and index."""
+
+    def __init__(self, rules: tuple[Rule, ...]):
+        self.rules = rules
+        # ASCII: "either case" means A-Z and a-z, not letters that fold to them.
+        self.expressions = [re.compile(r.pattern, r.flags | re.A if r.flags & re.I else r.flags) for r in rules]
+        self.queries = [trigram_query(r.pattern, r.flags) for r in rules]
+        self.index = Index(self.queries)
 
 
 def verify(rule: Rule, expression: re.Pattern, text: str) -> list[tuple[int, int]]:
@@ -178,11 +296,11 @@ def verify(rule: Rule, expression: re.Pattern, text: str) -> list[tuple[int, int
     return [m.span() for m in expression.finditer(text) if m.end(rule.group) - m.start(rule.group) >= rule.least]
 
 
-def find_in(texts: list[str], compiled: list) -> list[list[tuple[int, int, int]]]:
+def find_in(texts: list[str], c: Compiled) -> list[list[tuple[int, int, int]]]:
     """(start, rule number, end) of each text, in order."""
-    segment, out = Segment(texts), [[] for _ in texts]
-    for k, (rule, expression, query) in enumerate(compiled):
-        for i in candidates(query, segment, len(texts)).tolist():
+    postings, out = c.index.postings(texts), [[] for _ in texts]
+    for k, (rule, expression, query) in enumerate(zip(c.rules, c.expressions, c.queries, strict=True)):
+        for i in c.index.candidates(query, postings, len(texts)).tolist():
             out[i] += [(a, k, b) for a, b in verify(rule, expression, texts[i])]
     return [sorted(x) for x in out]
 
@@ -203,24 +321,23 @@ def find_secrets(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     return map_rows(docs.select(docs[id_col].cast(id_type), docs[text_col]), one, f"doc_id {id_type}, spans array<struct<kind:string,start:long,end:long>>", schema)
 
 
-_COMPILED: dict[tuple[Rule, ...], list] = {}
+_COMPILED: dict[tuple[Rule, ...], Compiled] = {}
 
 
-def _cached(rules: tuple[Rule, ...]) -> list:
+def _cached(rules: tuple[Rule, ...]) -> Compiled:
     if rules not in _COMPILED:
-        _COMPILED[rules] = _compiled(rules)
+        _COMPILED[rules] = Compiled(rules)
     return _COMPILED[rules]
 
 
 def postings(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """trigram, doc_id, k_text: the index as a table, for the trigrams that the rules' queries name."""
-    grams = sorted({g for r in rules for q in trigram_query(r.pattern, r.flags) or [] for g in q})
     id_type = "string" if dict(docs.dtypes)[id_col] == "string" else "long"
     schema = pa.schema([("trigram", pa.string()), ("doc_id", pa.string() if id_type == "string" else pa.int64()), ("k_text", pa.int64())])
 
     def one(ids: list, keys: list, texts: list) -> dict[str, list]:
-        segment = Segment([t or "" for t in texts])
-        hits = [(g.decode(), ids[i], keys[i]) for g in grams for i in np.flatnonzero(segment(g)).tolist()]
+        index = _cached(rules).index
+        hits = [(g.decode(), ids[i], keys[i]) for g, some in zip(index.grams, index.postings([t or "" for t in texts]), strict=True) for i in some.tolist()]
         return {c: [h[j] for h in hits] for j, c in enumerate(("trigram", "doc_id", "k_text"))}
 
     return map_rows(docs.select(docs[id_col].cast(id_type), text_key(docs[text_col]), docs[text_col]), one, f"trigram string, doc_id {id_type}, k_text long", schema)

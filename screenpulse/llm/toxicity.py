@@ -2,7 +2,8 @@
 
 1. A bounded sample of labelled documents (``per_class`` of each label, least hash first) are the examples.  All their
    terms are the vocabulary; none is dropped.
-2. One scan counts in how many of all documents each term stands, in arrays of each task; another scan scores.
+2. One scan over all whole texts writes each document's term counts, and counts in arrays of its task in how many
+   documents each term stands.
 3. A term weighs tf * idf * relevance.  Relevance is how well the term tells the examples' labels apart, the root of
    its G (likelihood ratio against independence) times its log-odds, and never under ``FLOOR``, so any shared term makes
    neighbours.  Equal vectors count once, so that copies are not taken for independent evidence.
@@ -250,11 +251,10 @@ def calibration(vote: np.ndarray, toxic: np.ndarray, every: np.ndarray) -> tuple
 
 
 class Model:
-    """Vocabulary, examples, their index and the calibration; its size is bounded by per_class."""
+    """Examples, their index and the calibration; its size is bounded by per_class."""
 
-    def __init__(self, vocab: list[str], found: Vectors, labels: np.ndarray, docs: list, share: tuple[float, float], df: np.ndarray, n: int, k: int):
+    def __init__(self, found: Vectors, labels: np.ndarray, docs: list, share: tuple[float, float], df: np.ndarray, n: int, k: int):
         """found: term counts of the examples in order of doc; df, n: documents with each term, and all of them."""
-        self.number = {t: i for i, t in enumerate(vocab)}
         groups: dict[bytes, list[int]] = {}
         for i, (a, b) in enumerate(zip(found.start[:-1].tolist(), found.start[1:].tolist(), strict=True)):
             groups.setdefault(hashlib.blake2b(found.term[a:b].tobytes() + found.value[a:b].tobytes(), digest_size=16).digest(), []).append(i)
@@ -275,8 +275,9 @@ class Model:
         self.voters = Voters(distinct, votes, idf, k)
         self.slope, self.offset = calibration(raw, votes[:, 0], votes[:, 1])
 
-    def score_all(self, texts: list[str | None]) -> list[tuple[float, list[dict]]]:
-        found = self.voters.votes_of([np.unique(c, return_counts=True) for c in codes_of(texts, self.number)])
+    def score_all(self, counted: list[tuple[np.ndarray, np.ndarray]]) -> list[tuple[float, list[dict]]]:
+        """Of each (terms, counts): the score and the neighbours."""
+        found = self.voters.votes_of(counted)
         p = 1 / (1 + np.exp(-(self.slope * _log_odds(np.array([vote for vote, _, _ in found])) + self.offset)))
         names = ("doc_id", "n", "n_toxic")
         shown = [[dict(zip(names, self.shown[e], strict=True), cosine=c) for e, c in zip(near.tolist(), cosine.tolist(), strict=True)] for _, near, cosine in found]
@@ -338,39 +339,52 @@ def encoded(terms: pa.ChunkedArray, counts: pa.ChunkedArray) -> tuple[list[str],
     return [spelt[i] for i in order], Vectors(start, codes, counts.flatten().to_numpy(zero_copy_only=False).astype(float))
 
 
-def document_frequencies(docs: DataFrame, vocab: list[str]) -> tuple[np.ndarray, int]:
-    """(documents with each term of the vocabulary, all documents): counted in each task, then summed by term."""
+def vectors(docs: DataFrame, vocab: list[str], id_type: str) -> DataFrame:
+    """docs: doc, text.  doc, terms, counts of each row; and from each task term, n: how many of its rows hold a term.
+
+    The term after the last stands for every row.  Counts of a task are the rows with a term.
+    """
     shared = docs.sparkSession.sparkContext.broadcast({t: i for i, t in enumerate(vocab)})
-    schema = pa.schema([("term", pa.int32()), ("n", pa.int64())])
+    arrow, ints = pa.string() if id_type == "string" else pa.int64(), pa.list_(pa.int32())
+    schema = pa.schema([("doc", arrow), ("terms", ints), ("counts", ints), ("term", pa.int32()), ("n", pa.int64())])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number, seen = shared.value, np.zeros(len(shared.value) + 1, np.int64)
         for batch in slices(batches):
-            once = [np.unique(c) for c in codes_of(batch.column(0).to_pylist(), number)]
-            seen[:-1] += np.bincount(np.concatenate(once), minlength=len(number))
+            got = [np.unique(c, return_counts=True) for c in codes_of(batch.column(1).to_pylist(), number)]
+            start = np.r_[0, np.cumsum([len(t) for t, _ in got])].astype(np.int32)
+            terms, counts = (np.concatenate([x[i] for x in got]).astype(np.int32) for i in (0, 1))
+            seen[:-1] += np.bincount(terms, minlength=len(number))
             seen[-1] += batch.num_rows
+            lists = [pa.ListArray.from_arrays(pa.array(start), pa.array(x)) for x in (terms, counts)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *lists, pa.nulls(batch.num_rows, pa.int32()), pa.nulls(batch.num_rows, pa.int64())], schema=schema)
         some = np.flatnonzero(seen)
-        yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(seen[some])], schema=schema)
+        yield pa.RecordBatch.from_arrays([pa.nulls(len(some), arrow), pa.nulls(len(some), ints), pa.nulls(len(some), ints), pa.array(some.astype(np.int32)), pa.array(seen[some])], schema=schema)
+
+    return saved(docs.select("doc", "text").mapInArrow(count, f"doc {id_type}, terms array<int>, counts array<int>, term int, n long"), "vectors")
+
 
-    told = docs.select("text").mapInArrow(count, "term int, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow()
-    shared.destroy()
-    seen = np.zeros(len(vocab) + 1, np.int64)
+def document_frequencies(found: DataFrame, n_terms: int) -> tuple[np.ndarray, int]:
+    """(documents with each term of the vocabulary, all documents); a row for each term is gathered."""
+    told = found.where("term is not null").groupBy("term").agg(F.sum("n").alias("n")).toArrow()
+    seen = np.zeros(n_terms + 1, np.int64)
     seen[told["term"].to_numpy()] = told["n"].to_numpy()
     return seen[:-1].astype(float), int(seen[-1])
 
 
-def fit(docs: DataFrame, labels: DataFrame, *, id_col: str, label_col: str, per_class: int, k: int, id_type: str) -> Model:
-    """docs: doc, text."""
+def fit(docs: DataFrame, labels: DataFrame, *, id_col: str, label_col: str, per_class: int, k: int, id_type: str) -> tuple[Model, DataFrame]:
+    """docs: doc, text.  The model, and vectors()."""
     chosen, every = sample(labels.withColumn(id_col, F.col(id_col).cast(id_type)), per_class, id_col=id_col, label_col=label_col)
     rows = examples(docs, chosen, id_type)
     vocab, found = encoded(rows["terms"], rows["counts"])
     rows = rows.select(["doc", "y"])
-    df, n = document_frequencies(docs, vocab)
+    counted = vectors(docs, vocab, id_type)
+    df, n = document_frequencies(counted, len(vocab))
     y = rows["y"].to_numpy().astype(np.int64)
     in_sample = np.bincount(y, minlength=2)
     share = [every[c] / in_sample[c] if in_sample[c] else 0.0 for c in (0, 1)]
     mean = float(np.dot(share, in_sample) / max(1, len(y)))
-    return Model(vocab, found, y, rows["doc"].to_pylist(), tuple(s / mean if mean else 0.0 for s in share), df, n, k)
+    return Model(found, y, rows["doc"].to_pylist(), tuple(s / mean if mean else 0.0 for s in share), df, n, k), counted
 
 
 def score_toxicity(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", per_class: int = PER_CLASS, k: int = NEIGHBOURS) -> DataFrame:
@@ -385,7 +399,8 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id"
     spark = docs.sparkSession
     id_type = "string" if dict(docs.dtypes)[id_col] == "string" else "long"
     texts = docs.select(docs[id_col].cast(id_type).alias("doc"), docs[text_col].alias("text"))
-    model = spark.sparkContext.broadcast(fit(texts, labels, id_col=id_col, label_col=label_col, per_class=per_class, k=k, id_type=id_type))
+    fitted, counted = fit(texts, labels, id_col=id_col, label_col=label_col, per_class=per_class, k=k, id_type=id_type)
+    model = spark.sparkContext.broadcast(fitted)
     arrow = pa.string() if id_type == "string" else pa.int64()
     near = pa.struct([("doc_id", arrow), ("cosine", pa.float64()), ("n", pa.int32()), ("n_toxic", pa.int32())])
     schema = pa.schema([("doc_id", arrow), ("score", pa.float64()), ("neighbours", pa.list_(near))])
@@ -393,13 +408,17 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id"
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m, known = model.value, {}  # copies of a text are scored once
         for batch in slices(batches):
-            ids, texts = (c.to_pylist() for c in batch.columns)
-            new = [t for t in dict.fromkeys(texts) if t not in known]
+            columns = [batch.column(i) for i in (1, 2)]
+            start, (terms, counts) = columns[0].offsets.to_numpy(), (c.values.to_numpy(zero_copy_only=False) for c in columns)
+            ends = zip(start[:-1].tolist(), start[1:].tolist(), strict=True)
+            mine = {i: (terms[a:b], counts[a:b]) for i, (a, b) in enumerate(ends)}
+            keys = [t.tobytes() + n.tobytes() for t, n in mine.values()]
+            new = {key: i for i, key in enumerate(keys) if key not in known}
             if len(known) + len(new) > REMEMBERED:
-                known, new = {}, list(dict.fromkeys(texts))
-            known |= zip(new, m.score_all(new), strict=True)
-            out = [known[t] for t in texts]
-            yield pa.RecordBatch.from_pydict({"doc_id": ids, "score": [p for p, _ in out], "neighbours": [e for _, e in out]}, schema=schema)
+                known, new = {}, {key: i for i, key in enumerate(keys)}
+            known |= zip(new, m.score_all([mine[i] for i in new.values()]), strict=True)
+            out = [known[key] for key in keys]
+            yield pa.RecordBatch.from_pydict({"doc_id": batch.column(0).to_pylist(), "score": [p for p, _ in out], "neighbours": [e for _, e in out]}, schema=schema)
 
-    scored = texts.mapInArrow(score, f"doc_id {id_type}, score double, neighbours array<struct<doc_id:{id_type},cosine:double,n:int,n_toxic:int>>")
+    scored = counted.where("term is null").select("doc", "terms", "counts").mapInArrow(score, f"doc_id {id_type}, score double, neighbours array<struct<doc_id:{id_type},cosine:double,n:int,n_toxic:int>>")
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", "neighbours")

@@ -2,7 +2,9 @@
 
 import math
 import random
+import re
 import zlib
+from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
@@ -19,27 +21,118 @@ def rows(df):
 
 # --- toxicity
 
-def test_block_max_search_is_exact():
+def sparse(dicts):
+    start = np.r_[0, np.cumsum([len(d) for d in dicts])]
+    return toxicity.Vectors(start, np.array([t for d in dicts for t in sorted(d)], np.int32), np.array([d[t] for d in dicts for t in sorted(d)], float))
+
+
+@pytest.mark.parametrize(("dense", "first"), [(0, 20), (4, 20), (4, 10_000), (60, 0)])
+def test_block_max_search_is_exact(monkeypatch, dense, first):
+    monkeypatch.setattr(toxicity, "FIRST_POSTINGS", first)
     rng = random.Random(2)
-    vectors = []
+    found = []
     for _ in range(500):
-        v = {t: rng.random() + 0.01 for t in rng.sample(range(40), rng.randint(1, 6))}
+        v = {t: rng.random() ** 3 + 0.01 for t in rng.sample(range(40), rng.randint(1, 6))}
         n = math.sqrt(sum(x * x for x in v.values()))
-        vectors.append({t: x / n for t, x in v.items()})
-    vectors += vectors[:60]
-    index = toxicity.BlockMaxIndex(vectors, block=16)
+        found.append({t: x / n for t, x in v.items()})
+    found += found[:60]
+    index = toxicity.BlockMaxIndex(sparse(found), 60, block=16, dense=dense)
+    asked = [*found[:120], {55: 1.0}, {}]
     skipped = 0
-    for q in vectors[:120] + [{99: 1.0}, {}]:
-        want = sorted(((-sum(w * q.get(t, 0) for t, w in v.items()), e) for e, v in enumerate(vectors)))
+    arrays = [(np.array(sorted(q), np.int64), np.array([q[t] for t in sorted(q)], float)) for q in asked]
+    for q, (near, cosine, scored) in zip(asked, index.search_all(arrays, 10), strict=True):
+        want = sorted((-sum(w * q.get(t, 0) for t, w in v.items()), e) for e, v in enumerate(found))
         want = [(e, -s) for s, e in want if s < 0][:10]
-        got, scored = index.search(q, 10)
-        skipped += scored < len(vectors) // 16
-        assert [round(s, 9) for _, s in got] == [round(s, 9) for _, s in want]
-        top = [s for _, s in want]
-        assert {e for e, s in got if s > top[-1] + 1e-9} == {e for e, s in want if s > top[-1] + 1e-9} if top else not got
+        skipped += scored < 200
+        assert [round(s, 9) for s in cosine.tolist()] == [round(s, 9) for _, s in want]
+        assert {e for e, s in zip(near.tolist(), cosine.tolist(), strict=True) if s > want[-1][1] + 1e-9} == {e for e, s in want if s > want[-1][1] + 1e-9} if want else not len(near)
     assert skipped > 60
 
 
+def brute_toxicity(docs, labels, k=25):
+    """{doc_id: score}, in plain Python: every vector against every example."""
+    import hashlib
+
+    count = lambda t: Counter(re.findall(r"[^\W\d_]+", (t or "").lower()))
+    train = {d: y for d, y in labels.items() if zlib.crc32(str(d).encode()) % 3 != 1}
+    texts = dict(docs)
+    seen = {d: count(texts[d]) for d in sorted(train)}
+    vocabulary = sorted({t for v in seen.values() for t in v})
+    place = {t: i for i, t in enumerate(vocabulary)}
+    df = Counter(t for _, x in docs for t in count(x) if t in place)
+    idf = {t: math.log((1 + len(docs)) / (1 + df[t])) + 1 for t in vocabulary}
+    groups = defaultdict(list)
+    for d, v in seen.items():
+        terms = sorted(v, key=place.__getitem__)
+        groups[hashlib.blake2b(np.array([place[t] for t in terms], np.int32).tobytes() + np.array([v[t] for t in terms], float).tobytes(), digest_size=16).digest()].append(d)
+    members = [groups[g] for g in sorted(groups)]
+
+    def voters(some):
+        mine = [(seen[m[0]], sum(train[d] for d in m), len(m)) for m in some]
+        total = [sum(x[i] for x in mine) for i in (1, 2)]
+        none = [sum(x[i] for x in mine if not x[0]) for i in (1, 2)]
+        prior = (none[0] + total[0] / total[1]) / (none[1] + 1)
+        full = [x for x in mine if x[0]]
+        toxic = [x[1] / x[2] >= 0.5 for x in full]
+        n, n1 = len(full), sum(toxic)
+        weight = {}
+        for t in vocabulary:
+            a, c = sum(y and t in x[0] for x, y in zip(full, toxic, strict=True)), sum(not y and t in x[0] for x, y in zip(full, toxic, strict=True))
+            table = [(a, a + c, n1), (c, a + c, n - n1), (n1 - a, n - a - c, n1), (n - n1 - c, n - a - c, n - n1)]
+            g = 2 * sum(o * math.log(o * n / (r * q)) for o, r, q in table if o)
+            odds = math.log((a + 0.5) / (n1 - a + 0.5)) - math.log((c + 0.5) / (n - n1 - c + 0.5))
+            weight[t] = idf[t] * max(0.01, math.sqrt(max(g, 0)) * abs(odds))
+
+        def unit(v):
+            w = {t: (1 + math.log(n)) * weight[t] for t, n in v.items() if t in weight}
+            norm = math.sqrt(sum(x * x for x in w.values()))
+            return {t: x / norm for t, x in w.items()}
+
+        vectors = [unit(x[0]) for x in full]
+
+        def vote(v):
+            q = unit({t: n for t, n in v.items() if t in place})
+            if not q:
+                return prior
+            near = sorted(((sum(w * q.get(t, 0.0) for t, w in u.items()), -e) for e, u in enumerate(vectors)), reverse=True)[:k]
+            return (sum(c * c * full[-e][1] for c, e in near) + 0.1 * prior) / (sum(c * c * full[-e][2] for c, e in near) + 0.1)
+
+        return vote
+
+    odds = lambda p: math.log(min(max(p, 1e-4), 1 - 1e-4) / (1 - min(max(p, 1e-4), 1 - 1e-4)))
+    raw = [0.0] * len(members)
+    for side in (0, 1):
+        vote = voters([m for i, m in enumerate(members) if i % 2 != side])
+        for i in range(side, len(members), 2):
+            raw[i] = vote(seen[members[i][0]])
+    slope, offset = toxicity.calibration(np.array(raw), np.array([sum(train[d] for d in m) for m in members], float), np.array([len(m) for m in members], float))
+    vote = voters(members)
+    return {d: 1 / (1 + math.exp(-(slope * odds(vote(count(t))) + offset))) for d, t in docs}
+
+
+def test_toxicity_is_the_plain_version(spark):
+    """The whole query against every pair; the sample holds all labels here, so each weighs the same."""
+    folder = "/root/testdata/sf0.001"
+    docs = [(r["doc_id"], r["text"]) for r in rows(spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "text"))]
+    labels = {r["doc_id"]: r["toxic"] for r in rows(spark.read.parquet(f"{folder}/labels.parquet"))}
+    want = brute_toxicity(docs, labels)
+    got = rows(QUERIES["op1_toxicity"](spark, folder))
+    assert len(got) == len(docs) and len({round(s, 3) for s in want.values()}) > 20
+    for r in got:
+        assert r["score"] == pytest.approx(want[r["doc_id"]], abs=1e-6) and r["predicted"] == int(r["score"] >= 0.7)
+    words = {w for d, t in docs if d in labels and zlib.crc32(str(d).encode()) % 3 != 1 for w in toxicity.terms_of(t)}
+    assert all(r["evidence"] for r in got if words & set(toxicity.terms_of(dict(docs)[r["doc_id"]])))
+
+
+def test_calibration_is_a_rising_curve():
+    rng = np.random.default_rng(0)
+    vote = rng.random(4000)
+    truth = 1 / (1 + np.exp(-(2.5 * np.log(vote / (1 - vote)) - 1)))
+    slope, offset = toxicity.calibration(vote, (rng.random(4000) < truth).astype(float), np.ones(4000))
+    assert abs(slope - 2.5) < 0.3 and abs(offset + 1) < 0.3
+    assert toxicity.calibration(vote, np.zeros(4000), np.ones(4000)) == (1.0, 0.0)
+
+
 def test_held_out_rows(spark):
     df = spark.createDataFrame([(i,) for i in range(200)] + [(None,)], "doc_id long")
     got = {r["doc_id"]: r["h"] for r in rows(df.select("doc_id", toxicity.held_out(F.col("doc_id")).alias("h")))}
@@ -52,8 +145,14 @@ def test_toxicity_on_held_out_documents(spark):
     mine = [(got[r["doc_id"]], r["toxic"]) for r in labels if got[r["doc_id"]]["held_out"]]
     toxic, clean = [g for g, y in mine if y], [g for g, y in mine if not y]
     assert len(got) == 10_000 and len(toxic) > 80
-    assert sum(g["predicted"] for g in toxic) / len(toxic) > 0.75
+    assert sum(g["predicted"] for g in toxic) / len(toxic) > 0.83
     assert sum(g["predicted"] for g in clean) / len(clean) < 0.01
+    # calibrated: among documents of a score, about that share is toxic
+    every = sorted(((g["score"], y) for g, y in mine))
+    for low, high in ((0.0, 0.1), (0.1, 0.7), (0.7, 1.0)):
+        some = [(p, y) for p, y in every if low <= p <= high]
+        said, real, n = np.mean([p for p, _ in some]), np.mean([y for _, y in some]), len(some)
+        assert n >= 10 and abs(said - real) < 0.03 + 2 * math.sqrt(real * (1 - real) / n)
     order = sum((a["score"] > b["score"]) + 0.5 * (a["score"] == b["score"]) for a in toxic for b in clean)
     assert order / len(toxic) / len(clean) > 0.9
 
@@ -65,14 +164,14 @@ def test_rare_terms_of_a_small_sample_have_weight(spark):
     labels = spark.createDataFrame([(i, int(i >= 40)) for i in train], "doc_id long, toxic int")
     got = {r["doc_id"]: r for r in rows(toxicity.score_toxicity(docs, labels))}
     toxic = [i for i in train if i >= 40]
-    assert toxic and all([n["doc_id"] for n in got[60 + i]["neighbours"]] == [i] and got[60 + i]["score"] > 0.9 for i in toxic)
+    assert toxic and all([n["doc_id"] for n in got[60 + i]["neighbours"]] == [i] and got[60 + i]["score"] > max(got[j]["score"] for j in range(40)) for i in toxic)
 
 
 def test_toxicity_odd_rows(spark, odd, none):
     labels = spark.createDataFrame([(i, i % 2, "x") for i in (4, 6, 7, 10, 20)] + [(4, 1, "x"), (None, 1, "x"), (5, None, "x")], "doc_id long, toxic int, text string")
     got = rows(toxicity.score_toxicity(odd, labels))
     assert len(got) == odd.count() and all(0 <= r["score"] <= 1 for r in got)
-    assert {r["score"] for r in rows(toxicity.score_toxicity(odd, labels.limit(0)))} == {0.0}
+    assert {round(r["score"], 3) for r in rows(toxicity.score_toxicity(odd, labels.limit(0)))} == {0.0}
     assert toxicity.score_toxicity(none, labels).count() == 0
 
 
@@ -126,7 +225,7 @@ def test_recall(spark, folder):
 def test_vectors_that_take_no_part_and_ties(spark):
     nan, inf = float("nan"), float("inf")
     good = [(i, [float(i % 7), 1.0, float(i % 3)]) for i in range(1, 60)]
-    odd = [(0, [1.0, 2.0, 3.0]), (20, None), (40, [0.0, 0.0, 0.0]), (60, [nan, 1.0, 1.0]), (80, [inf, 1.0, 1.0]), (100, [None, 1.0, 1.0]), (120, []), (140, [1.0]), (None, [1.0, 1.0, 1.0]), (160, [5.0, 5.0, 5.0])]
+    odd = [(0, [1.0, 2.0, 3.0]), (20, None), (40, [0.0, 0.0, 0.0]), (60, [nan, 1.0, 1.0]), (80, [inf, 1.0, 1.0]), (100, [None, 1.0, 1.0]), (120, []), (140, [1.0]), (141, [2.0]), (142, [-1.0]), (None, [1.0, 1.0, 1.0]), (160, [5.0, 5.0, 5.0])]
     good = [g for g in good if g[0] not in (20, 40)] + [(200 + i, [6.0, 1.0, 2.0]) for i in range(100)]
     df = spark.createDataFrame([(i, v, "x", "x") for i, v in good + odd], "vec_id long, embedding array<float>, id string, v string")
     part = [(i, np.array(v)) for i, v in good] + [(0, np.array([1.0, 2, 3])), (160, np.array([5.0, 5, 5]))]
@@ -134,11 +233,12 @@ def test_vectors_that_take_no_part_and_ties(spark):
     for r in sorted(rows(ann.nearest(df, F.col("id") % 20 == 0, share=1.0)), key=lambda r: r["rank"]):
         got.setdefault(r["query_id"], []).append((r["vec_id"], r["score"]))
     want = {q: sorted(((i, float((v * u).sum())) for i, u in part if i != q), key=lambda x: (-x[1], x[0]))[:20] for q, v in part if q % 20 == 0}
+    want[140] = [(141, 2.0), (142, -1.0)]
     assert got == want
     assert ann.nearest(df.limit(0), F.col("id") % 20 == 0).count() == 0
     few = ann.nearest(df.where("vec_id in (0, 1, 2)"), F.col("id") % 20 == 0)
     assert [(r["query_id"], r["rank"]) for r in rows(few)] == [(0, 1), (0, 2)]
-    blocks = ann.nearest(df, F.col("id") % 20 == 0, share=1.0, query_block=1)
+    blocks = ann.nearest(df, F.col("id") % 20 == 0, share=1.0, query_bytes=1)
     assert {(r["query_id"], r["vec_id"]) for r in rows(blocks)} == {(q, i) for q, x in want.items() for i, _ in x}
 
 
@@ -151,11 +251,40 @@ def test_recall_with_a_third_of_near_copies(spark, noise):
     v[hot] = v[0] + noise / 8 * rng.standard_normal((hot.sum(), 64))
     ids = np.arange(len(v))
     want = ann.brute_force(ids, v, ids[ids % 40 == 0], 20)
-    df = spark.createDataFrame([(int(i), x.tolist()) for i, x in zip(ids, v, strict=True)], "vec_id long, embedding array<double>").coalesce(1)
+    df = spark.createDataFrame([(int(i), x.tolist()) for i, x in zip(ids, v, strict=True)], "vec_id long, embedding array<double>")
     got: dict[int, set] = {}
     for r in rows(ann.nearest(df, F.col("id") % 40 == 0)):
         got.setdefault(r["query_id"], set()).add(r["vec_id"])
     recall = {q: len(got[q] & {i for i, _ in want[q]}) / 20 for q in want}
     for group in (True, False):
-        assert np.mean([x for q, x in recall.items() if hot[q] == group]) >= 0.95
+        assert np.mean([x for q, x in recall.items() if hot[q] == group]) >= 0.93
     assert min(recall.values()) >= 0.5
+
+
+def test_neighbours_do_not_depend_on_partitions(spark):
+    rng = np.random.default_rng(3)
+    v = rng.standard_normal((3_000, 16))
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "vec_id long, embedding array<double>")
+    options = {"pivots": 128, "prefix": 24, "sample": 1_000, "least": 60, "share": 0.06}
+    found = [sorted((r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in rows(ann.nearest(df.repartition(n), F.col("id") % 20 == 0, **options))) for n in (1, 3, 8)]
+    assert found[0] == found[1] == found[2] and len(found[0]) == 150 * 20
+
+
+def test_most_vectors_are_not_scored():
+    """On vectors without any structure, the worst case for an index."""
+    rng = np.random.default_rng(4)
+    v = rng.standard_normal((10_256, 64))
+    v /= np.linalg.norm(v, axis=1)[:, None]
+    ids = np.arange(len(v))
+    some = rng.permutation(len(v))[:4_096]
+    space = ann.Space(ids[some], v[some], len(v), 1.0, k=20, pivots=ann.PIVOTS, prefix=ann.PREFIX, share=ann.SHARE, least=ann.LEAST, alike=ann.ALIKE)
+    block = space.block(ids, v)
+    recall, scored, opened = [], [], []
+    for q in range(0, len(v), 100):
+        pivots, bar, low = space.ask(q, v[q])
+        near, _ = block.best(q, v[q], pivots, bar, low, 20)
+        want = {i for i, _ in ann.brute_force(ids, v, ids[q : q + 1], 20)[q]}
+        recall.append(len(want & set(near.tolist())) / 20)
+        scored.append(len(block.candidates(pivots, bar)) / len(v))
+        opened.append((block.files[pivots + 1] - block.files[pivots]).sum() / len(v))
+    assert np.mean(recall) >= 0.93 and np.mean(scored) < 0.16 and np.mean(opened) < 6

@@ -54,8 +54,8 @@ def of(parts, most):
 @given(of(list("passwordPASWKIAtokenTOKEN=:\"' _apikeyſK0123456789abcdef") + ["password=", "AKIA", "api_key: '", "0123456789abcdef"], 40))
 @settings(max_examples=300, deadline=None)
 def test_trigram_index_loses_no_match(text):
-    compiled = secretscan._compiled(secretscan.RULES)
-    full = sorted((a, k, b) for k, (rule, p, _) in enumerate(compiled) for a, b in secretscan.verify(rule, p, text))
+    compiled = secretscan.Compiled(secretscan.RULES)
+    full = sorted((a, k, b) for k, (rule, p) in enumerate(zip(compiled.rules, compiled.expressions, strict=True)) for a, b in secretscan.verify(rule, p, text))
     assert secretscan.find_in([text, "", text], compiled) == [full, [], full]
     assert sha([(a, k, secretscan.RULES[k].kind, b) for a, k, b in full if k < 3]) == sha(brute_secrets(text))
 
@@ -66,7 +66,8 @@ def test_trigram_queries():
     assert q(r"[0-9a-f]{24,}") is None
     assert sorted(map(sorted, q(r"abcd|xyz"))) == [[b"abc", b"bcd"], [b"xyz"]]
     assert q(r"(abc)?def") == [frozenset({b"def"})] or all(b"def" in g for g in q(r"(abc)?def"))
-    assert q(r"ab|xyz") is None
+    assert q(r"ab|xyz") is None and q(r"\w+foo") is None and q(r"[^a]bcd[^x]") == [frozenset({b"bcd"})]
+    assert q(r"a{3}b{2,}") == [frozenset({b"aaa"})] and q(r"x(?:ab|cd){1,2}y") == q(r"x(ab|cd|abab|abcd|cdab|cdcd)y")
 
 
 def test_postings_table(spark, small):
@@ -140,7 +141,7 @@ def test_contamination_matches_brute_force(spark, odd, none):
     docs = [(1, "x " + item.upper() + " y"), (2, "alpha beta gamma delta epsilon zeta eta theta iota"), (3, "Short-É-ONE; short É one"), (4, None), (5, ""), (6, "beta gamma delta epsilon zeta eta theta iota kappa lambda"), (7, "naïve words naïve wordsx"), (7, "naïve words naïve wordsx"), (8, item + " " + item)]
     df = spark.createDataFrame(docs, "doc_id long, text string")
     items = [("null" if i is None else i, t) for i, t in ((r["item_id"], r["text"]) for r in rows(bench))]
-    for options in ({}, {"block_windows": 2}):
+    for options in ({}, {"most_windows": 2}):
         got = sorted((r["doc_id"], r["n_words"], sum(x["end"] - x["first"] for x in r["runs"]), r["items"]) for r in rows(decontaminate.find_contamination(df, bench, **options)))
         assert got == sorted((d, *brute_contamination(t, items)) for d, t in docs)
     r = {x["doc_id"]: x for x in rows(decontaminate.find_contamination(df, bench))}
@@ -153,6 +154,25 @@ def test_contamination_matches_brute_force(spark, odd, none):
     assert {x["n_words"] for x in rows(decontaminate.find_contamination(df, bench.limit(0)))} == {len(ascii_words(t)) for _, t in docs}
 
 
+def test_a_large_benchmark_is_one_automaton():
+    """200,000 windows: one scan, little memory, every planted passage found and nothing else."""
+    import pickle
+    import random
+
+    rng = random.Random(7)
+    vocabulary = [f"w{i}" for i in range(30_000)]
+    items = [(str(i), " ".join(rng.choices(vocabulary, k=109))) for i in range(2_000)] + [("one", "Solitary"), ("two", "twice said")]
+    known = pickle.loads(pickle.dumps(decontaminate.Windows(items, 10)))
+    assert len(known.lengths) >= 200_000 and known.automaton.get_stats()["total_size"] < 500 * len(known.lengths)
+    for i in rng.sample(range(2_000), 20):
+        passage = items[i][1].split()[30:45]
+        text = rng.choices(vocabulary, k=300) + passage + rng.choices(vocabulary, k=300)
+        n, runs, found = decontaminate.scan(" ".join(text), known)
+        assert n == 615 and runs == [(300, 315)] and found == {str(i)}
+    assert decontaminate.scan("a SOLITARY thing, twice Said", known) == (5, [(1, 2), (3, 5)], {"one", "two"})
+    assert decontaminate.scan(" ".join(rng.choices(vocabulary, k=2_000)), known)[1] == []
+
+
 # --- SimHash
 
 def brute_print(text):
@@ -320,6 +340,19 @@ def test_snapshots_collapse(spark):
     assert chat.collapse(df.limit(0)).count() == 0
 
 
+def test_a_conversation_of_many_turns(spark):
+    """100,000 turns in one conversation, and its first half: linear, so a matter of seconds."""
+    import time
+
+    n = 100_000
+    half = spark.range(n // 2).selectExpr("2L as conv_id", "id as turn", "'user' as role", "concat('turn ', id) as text")
+    df = spark.range(n).selectExpr("1L as conv_id", "id as turn", "'user' as role", "concat('turn ', id) as text").unionByName(half)
+    began = time.perf_counter()
+    [r] = rows(chat.collapse(df))
+    assert (r["conv_id"], r["n_turns"]) == (1, n) and r["rendered"].endswith(f"turn {n - 1}\n<|end|>") and r["rendered"].startswith("<|user|>\nturn 0\n<|user|>\nturn 1\n")
+    assert time.perf_counter() - began < 60
+
+
 def test_snapshots_against_brute_force(spark):
     df = spark.read.parquet("/root/testdata/sf0.01/conversations.parquet")
     convs = defaultdict(list)
