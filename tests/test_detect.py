@@ -91,6 +91,29 @@ def test_the_sweep_is_the_checks(spark):
     assert key(detect.sweep_flags(history, episodes, ratings, days, since=day(20), until=day(60))) == key(detect.find_flags(history, episodes, days, since=day(20), until=day(60)))
 
 
+def test_listing_order(spark):
+    rows = season(1, TIDS, 13) + surge(pace(2, range(61), 1000, 10, 85), 30, 600, 75) + surge(pace(3, range(61), 1000, 10, 85), 30, 600, 75)
+    got = [(r["day"], r["show"], r["tid"], r["check"]) for r in detect.find_flags(*frames(spark, rows, listed())).collect()]
+    assert got == sorted(got) and len({r[0] for r in got}) > 10 and [r[1] for r in got if r[0] == day(30)] == [1, 2, 3]
+
+
+def test_a_bounded_read_judges_as_the_whole_history(spark):
+    """Titles seen daily, every second day, rarely, and only lately; whatever day the sweep starts on."""
+    rows = surge(pace(1, range(130), 1000, 10, 85), 100, 600, 75) + surge(pace(2, range(0, 130, 2), 1000, 10, 85), 100, 900, 75)
+    rows += surge(pace(3, range(0, 130, 3), 1000, 10, 85), 102, 900, 75) + surge(pace(4, range(80, 130), 1000, 10, 85), 100, 600, 75) + surge(pace(5, [*range(40), *range(96, 130)], 1000, 10, 85), 100, 600, 75)
+    history, episodes, days = frames(spark, rows, [(99, 98, 1, 1)])
+    ratings = spark.createDataFrame([(t, 9999) for t in range(1, 6)], "tid int, votes long")
+    key = lambda df: sorted((r["day"], r["tid"], r["z"], r["extra_votes"]) for r in df.collect())
+    whole = key(detect.find_flags(history, episodes, days))
+    assert {t for _, t, _, _ in whole} == {1, 2, 3, 4, 5}
+    for since in (90, 99, 101):
+        got = key(detect.sweep_flags(history, episodes, ratings, days, since=day(since), until=day(129)))
+        assert got == [f for f in whole if f[0] >= day(since)]
+    first = history.groupBy("tid").agg({"date": "min"}).toDF("tid", "first_day")
+    kept = detect.bounded_history(history, first, since=day(99), until=day(110)).groupBy("tid").count()
+    assert {r["tid"]: r["count"] for r in kept.collect()}[1] < 60
+
+
 def flag(tid, n, show=1, kind="bomb", check="daily", extra=100.0):
     return (tid, show, day(n), kind, check, 1000, 8.0, -0.5, extra, None, None, None)
 
