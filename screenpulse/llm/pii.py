@@ -3,10 +3,11 @@
 1. Base spans: each kind's expression, leftmost matches one after another, those that fail their test dropped.
    Matches and the pieces between them (``split``) give code-point offsets without a UDF.
 2. Candidates: addresses with an @ and digit groups, each with its context: the word before, the two words before,
-   the word after.  A candidate that passes a base test is a seed of that kind.
+   the word after.  A context is lexical: its nearest word has a letter.  A candidate that passes a base test is a seed
+   of that kind.
 3. The graph of patterns (contexts) and instances (candidate texts) is scored in rounds: a pattern's confidence in a
-   kind is the mean score of its instances, damped for few; an instance's score is the noisy or of its patterns.
-   Seeds stay 1.
+   kind is the mean score of all its instances, those that fail the kind's test counting against it, damped for few;
+   only patterns that reach ``trust`` vote; an instance's score is the noisy or of its patterns.  Seeds stay 1.
 4. Other candidates whose score reaches ``confidence`` and whose shape fits the kind are added as spans, where
    no base span overlaps.
 
@@ -25,10 +26,10 @@ from .common import forget, saved, text_key
 KINDS = ("email", "ip", "card", "phone")
 ROUNDS = 3
 CONFIDENCE = 0.8
-#: Instances that a pattern must have, and what its confidence is damped by.
-SUPPORT, DAMPING = 5, 1.0
-#: Characters of a piece in which context words are looked for.
-CONTEXT = 80
+#: Instances that a pattern must have, what its confidence is damped by, and the confidence from which it votes.
+SUPPORT, DAMPING, TRUST = 5, 1.0, 0.5
+#: Decimals of a score: sums in any order round to the same.
+PLACES = 9
 
 
 @dataclass(frozen=True)
@@ -110,10 +111,13 @@ def _span(kind: str):
 
 
 def _candidate(start: Column, end: Column, m: Column, before: Column, after: Column) -> Column:
-    left, right = F.lower(F.right(before, F.lit(CONTEXT))), F.lower(F.left(after, F.lit(CONTEXT)))
-    one, two, on = F.regexp_extract(left, r"(\S+)\s*$", 1), F.regexp_extract(left, r"(\S+\s+\S+)\s*$", 1), F.regexp_extract(right, r"^\s*(\S+)", 1)
-    pattern = lambda name, c: F.when(c != "", F.concat(F.lit(name), F.regexp_replace(c, r"\s+", " ")))
-    return F.struct(start.alias("start"), end.alias("end"), m.alias("instance"), F.array_compact(F.array(pattern("1<", one), pattern("2<", two), pattern("1>", on))).alias("patterns"))
+    left = F.split(F.rtrim(F.lower(F.regexp_replace(before, r"\s", " "))), " +")
+    right = F.split(F.ltrim(F.lower(F.regexp_replace(after, r"\s", " "))), " +", 2)
+    one, two, on = F.element_at(left, -1), F.try_element_at(left, F.lit(-2)), F.element_at(right, 1)
+    word = lambda c: c.rlike(r"\p{L}")
+    pattern = lambda name, lexical, *c: F.when(lexical, F.concat(F.lit(name), F.concat_ws(" ", *c)))
+    found = F.array(pattern("1<", word(one), one), pattern("2<", word(one) & (F.coalesce(two, F.lit("")) != ""), two, one), pattern("1>", word(on), on))
+    return F.struct(start.alias("start"), end.alias("end"), m.alias("instance"), F.array_compact(found).alias("patterns"))
 
 
 def spans_and_candidates(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -130,10 +134,11 @@ def spans_and_candidates(docs: DataFrame, id_col: str, text_col: str) -> DataFra
     return rows.select("doc_id", "k_text", F.array_sort(F.concat(*base)).alias("base"), _located(F.col("p_any"), F.col("m_any"), often, _candidate).alias("candidates"))
 
 
-def learn(found: DataFrame, *, rounds: int = ROUNDS, confidence: float = CONFIDENCE, support: int = SUPPORT) -> DataFrame:
+def learn(found: DataFrame, *, rounds: int = ROUNDS, confidence: float = CONFIDENCE, support: int = SUPPORT, trust: float = TRUST) -> DataFrame:
     """instance, kind: candidate texts that the patterns vouch for and that aren't seeds.
 
-    found: with an array of candidates a row.  Repeated occurrences are one edge of the graph.
+    found: with an array of candidates a row.  Repeated occurrences are one edge of the graph.  An instance can only be
+    of a kind whose shape it has.
     """
     edges = found.select(F.explode("candidates").alias("c")).select(F.explode("c.patterns").alias("pattern"), F.col("c.instance").alias("instance")).distinct()
     edges = saved(edges, "edges")
@@ -142,14 +147,17 @@ def learn(found: DataFrame, *, rounds: int = ROUNDS, confidence: float = CONFIDE
     instances = edges.select("instance").distinct().select("instance", *[F.when(whole(k), 1.0).otherwise(zero).alias(f"seed_{k}") for k in KINDS])
     instances = saved(instances, "instances")
     scores = instances.select(F.col("instance").alias("i"), *[F.col(f"seed_{k}").alias(k) for k in KINDS])
+    exactly = lambda c: F.round(c, PLACES)
     for _ in range(rounds):
-        scored = edges.join(scores, edges["instance"] == scores["i"]).groupBy("pattern").agg(F.count("*").alias("n"), *[F.sum(k).alias(k) for k in KINDS]).where(F.col("n") >= support)
-        trust = scored.select(F.col("pattern").alias("p"), *[(F.col(k) / (F.col("n") + DAMPING)).alias(k) for k in KINDS]).where(F.greatest(*KINDS) > 0)
-        voted = edges.join(trust, edges["pattern"] == trust["p"]).groupBy("instance").agg(*[(1 - F.exp(F.sum(F.log1p(-F.col(k))))).alias(k) for k in KINDS])
+        scored = edges.join(scores, edges["instance"] == scores["i"]).groupBy("pattern").agg(F.count("*").alias("n"), *[exactly(F.sum(k)).alias(k) for k in KINDS]).where(F.col("n") >= support)
+        sure = lambda k: F.col(k) / (F.col("n") + DAMPING)
+        vouch = scored.select(F.col("pattern").alias("p"), *[F.when(sure(k) >= trust, sure(k)).otherwise(zero).alias(k) for k in KINDS]).where(F.greatest(*KINDS) > 0)
+        voted = edges.join(vouch, edges["pattern"] == vouch["p"]).groupBy("instance").agg(*[exactly(1 - F.exp(F.sum(F.log1p(-F.col(k))))).alias(k) for k in KINDS])
         voted = voted.select(F.col("instance").alias("v"), *KINDS)
         new = instances.join(voted, instances["instance"] == voted["v"], "left")
         before = scores
-        scores = saved(new.select(F.col("instance").alias("i"), *[F.greatest(f"seed_{k}", F.coalesce(k, zero)).alias(k) for k in KINDS]), "scores")
+        shaped = [F.when(F.col("instance").rlike(SPEC[k].shape), F.coalesce(k, zero)).otherwise(zero) for k in KINDS]
+        scores = saved(new.select(F.col("instance").alias("i"), *[F.greatest(f"seed_{k}", s).alias(k) for k, s in zip(KINDS, shaped, strict=True)]), "scores")
         forget(before)
     best = F.greatest(*KINDS)
     kind = F.coalesce(*[F.when((F.col(k) == best) & F.col("i").rlike(SPEC[k].shape), F.lit(k)) for k in KINDS])

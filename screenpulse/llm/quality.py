@@ -3,10 +3,11 @@
 1. A logistic model over counts of a whole text (letters, symbols, capitals, repetition, line and word lengths) is
    fitted on a bounded sample of labelled documents (``per_class`` of each label).
 2. Every document's probability is summed by site path, and by host, with partial aggregation: a host with a third
-   of all rows is a few partial sums.
+   of all rows is a few partial sums.  Sums are of whole numbers, so they are the same in any order.
 3. Empirical Bayes from the top: hosts shrink towards the corpus mean by the strength that the spread between hosts
    supports (method of moments); paths shrink towards their host in the same way.  A sparse site is its parent.
-4. A document's log-odds move by those of its path against the corpus mean.
+4. A document's log-odds move by those of its path against the corpus mean, all three without the document itself:
+   its evidence counts once.
 """
 
 from __future__ import annotations
@@ -16,7 +17,6 @@ import math
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -106,87 +106,96 @@ def fit(docs: DataFrame, labels: DataFrame, *, id_col: str, text_col: str, label
     return Logistic(np.array([r["x"] for r in rows]), y, weight / max(1e-9, weight.mean()) if len(y) else weight)
 
 
-def site_posteriors(evidence: DataFrame) -> DataFrame:
-    """evidence: host, path, p.  host, path, corpus, host_posterior, path_posterior: a row for each path.
+#: Evidence is summed in units of a billionth.
+_UNIT = 1_000_000_000
+
+
+def sites(evidence: DataFrame) -> DataFrame:
+    """evidence: host, path, p.  A row for each path: host, path, and of path, host and corpus the documents and the sum
+    of p (pn, ps, hn, hs, cn, cs), with the strengths hk and pk that hosts and paths are shrunk by.
 
     The strength of a parent is mean*(1-mean)/spread - 1 of a beta prior whose spread is that of the children
-    beyond what their sizes explain; without a spread beyond that, children are their parent.
+    beyond what their sizes explain; without a spread beyond that it is infinite: children are their parent.
     """
-    paths = saved(evidence.groupBy("host", "path").agg(F.count("*").alias("n"), F.sum("p").alias("s")), "paths")
-    hosts = paths.groupBy("host").agg(F.sum("n").alias("hn"), F.sum("s").alias("hs"))
-    total = hosts.agg(F.sum("hn").alias("n"), F.sum("hs").alias("s")).first()
-    mean = (total["s"] / total["n"]) if total["n"] else 0.5
-
-    def strength(children: DataFrame, n: str, s: str, parent) -> float:
+    units = F.sum(F.round(F.col("p") * _UNIT).cast("long"))
+    paths = saved(evidence.groupBy("host", "path").agg(F.count("*").alias("pn"), units.alias("pu")), "paths")
+    hosts = paths.groupBy("host").agg(F.sum("pn").alias("hn"), F.sum("pu").alias("hu"))
+    total = hosts.agg(F.sum("hn").alias("n"), F.sum("hu").alias("u")).first()
+    n = total["n"] or 0
+    mean = total["u"] / _UNIT / n if n else 0.5
+
+    def strength(children: DataFrame, n: str, share: Column, parent: Column) -> float:
         """Between-children variance by moments, as a prior's number of documents; one pass."""
-        r = children.agg(
-            F.sum(F.col(n) * F.pow(F.col(s) / F.col(n) - parent, 2)).alias("q"), F.count("*").alias("k"), F.sum(n).alias("n"), F.sum(F.pow(F.col(n).cast("double"), 2)).alias("n2"),
-        ).first()
+        size = F.col(n).cast("double")
+        r = children.agg(F.sum(size * F.pow(share - parent, 2)).alias("q"), F.count("*").alias("k"), F.sum(size).alias("n"), F.sum(size * size).alias("n2")).first()
         noise = mean * (1 - mean)
-        if not r["k"] or r["k"] < 2 or not noise or r["n"] - r["n2"] / r["n"] <= 0:
-            return math.inf
-        between = (r["q"] - (r["k"] - 1) * noise) / (r["n"] - r["n2"] / r["n"])
-        return math.inf if between <= 0 else max(1.0, noise / between - 1)
+        room = r["n"] - r["n2"] / r["n"] if r["n"] else 0.0
+        between = (r["q"] - (r["k"] - 1) * noise) / room if room > 0 else 0.0
+        return max(1.0, noise / between - 1) if between > 0 else math.inf
 
-    def shrunk(n: str, s: str, parent, k: float):
-        return parent if math.isinf(k) else (F.col(s) + k * parent) / (F.col(n) + k)
+    of = lambda u, n: F.col(u) / F.lit(float(_UNIT)) / F.col(n)
+    hk = strength(hosts, "hn", of("hu", "hn"), F.lit(mean))
+    both = saved(paths.join(hosts.withColumnRenamed("host", "h"), paths["host"].eqNullSafe(F.col("h"))).drop("h"), "hosts")
+    pk = strength(both, "pn", of("pu", "pn"), _shrunk(F.col("hn"), F.col("hu") / F.lit(float(_UNIT)), F.lit(mean), hk))
+    sums = [(F.col(u) / F.lit(float(_UNIT))).alias(s) for u, s in (("pu", "ps"), ("hu", "hs"))]
+    return both.select("host", "path", "pn", "hn", *sums, F.lit(n).cast("long").alias("cn"), F.lit(mean * n).alias("cs"), F.lit(hk).alias("hk"), F.lit(pk).alias("pk"))
 
-    by_host = strength(hosts, "hn", "hs", F.lit(mean))
-    hosts = hosts.withColumn("host_posterior", shrunk("hn", "hs", F.lit(mean), by_host)).withColumnRenamed("host", "h")
-    both = saved(paths.join(hosts, paths["host"].eqNullSafe(hosts["h"])), "hosts")
-    by_path = strength(both, "n", "s", F.col("host_posterior"))
-    return both.select("host", "path", F.lit(mean).alias("corpus"), "host_posterior", shrunk("n", "s", F.col("host_posterior"), by_path).alias("path_posterior"))
 
+def _shrunk(n: Column, s: Column, parent: Column, k: float) -> Column:
+    return parent if math.isinf(k) else (s + F.lit(k) * parent) / (n + F.lit(k))
 
-def _sites(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, host_col: str, path_cols: tuple[str, ...], label_col: str, per_class: int) -> tuple[Broadcast, DataFrame, DataFrame, Column, Column]:
-    """(the model, each row's evidence, site posteriors, a row's host, its path)."""
-    id_type = "string" if dict(docs.dtypes)[id_col] == "string" else "long"
-    model = docs.sparkSession.sparkContext.broadcast(fit(docs, labels, id_col=id_col, text_col=text_col, label_col=label_col, per_class=per_class))
-    arrow = pa.string() if id_type == "string" else pa.int64()
-    schema = pa.schema([("doc_id", arrow), ("k_text", pa.int64()), ("host", pa.string()), ("path", pa.string()), ("p", pa.float64())])
-
-    def one(ids: list, keys: list, hosts: list, paths: list, texts: list) -> dict[str, list]:
-        return {"doc_id": ids, "k_text": keys, "host": hosts, "path": paths, "p": model.value.of(texts)}
 
-    host = docs[host_col].cast("string")
-    path = F.to_json(F.array(*[docs[c].cast("string") for c in path_cols])) if path_cols else F.lit("")
-    columns = docs.select(docs[id_col].cast(id_type), text_key(docs[text_col]), host, path, docs[text_col])
-    scored = saved(map_rows(columns, one, f"doc_id {id_type}, k_text long, host string, path string, p double", schema), "evidence")
-    sites = site_posteriors(scored).withColumnRenamed("host", "s_host").withColumnRenamed("path", "s_path")
-    return model, scored, saved(sites, "sites"), host, path
+def posteriors(p: Column) -> dict[str, Column]:
+    """corpus, host_posterior, path_posterior of a document with evidence p among the others of its site."""
+    k = lambda c, n, s, parent: F.when(F.isnan(c) | (c == math.inf), parent).otherwise((s + c * parent) / (n + c))
+    corpus = F.when(F.col("cn") > 1, (F.col("cs") - p) / (F.col("cn") - 1)).otherwise(0.5)
+    host = k(F.col("hk"), F.col("hn") - 1, F.col("hs") - p, corpus)
+    return {"corpus": corpus, "host_posterior": host, "path_posterior": k(F.col("pk"), F.col("pn") - 1, F.col("ps") - p, host)}
 
 
-def _score(p: Column) -> Column:
+def _score(p: Column, corpus: Column, path: Column) -> Column:
     """Evidence moved by its path's posterior against the corpus."""
     clip = lambda c: F.least(F.greatest(c, F.lit(1e-6)), F.lit(1 - 1e-6))
     logit = lambda c: F.log(clip(c) / (1 - clip(c)))
-    return 1 / (1 + F.exp(-(logit(p) + SITE_WEIGHT * (logit(F.col("path_posterior")) - logit(F.col("corpus"))))))
+    return 1 / (1 + F.exp(-(logit(p) + SITE_WEIGHT * (logit(path) - logit(corpus)))))
 
 
-def score_quality(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", path_cols: tuple[str, ...] = ("lang",), label_col: str = "quality", per_class: int = PER_CLASS, threshold: float = THRESHOLD) -> DataFrame:
-    """A row for each document row: doc_id, k_text, evidence, host_posterior, path_posterior, score, keep.
+def _scored(docs: DataFrame, labels: DataFrame, kept: list[Column], *, id_col: str, text_col: str, host_col: str, path_cols: tuple[str, ...], label_col: str, per_class: int) -> DataFrame:
+    """kept, p, corpus, host_posterior, path_posterior and score of each row; every text is looked at once.
 
-    Null hosts or paths are sites of their own.  Null and empty texts have all features 0.  Without both labels the
-    evidence is 0.5 throughout.  Labels of held-out ids are not learnt from.  Equal rows score the same.
+    Rows meet their site's sums by an equi-join: a row for each path, which Spark broadcasts while they are under its
+    threshold, and beyond it a join whose hot sites AQE can split.
     """
-    _, scored, sites, _, _ = _sites(docs, labels, id_col, text_col, host_col, path_cols, label_col, per_class)
-    joined = scored.join(sites, scored["host"].eqNullSafe(sites["s_host"]) & (scored["path"] == sites["s_path"]))
-    score = _score(F.col("p"))
-    return joined.select("doc_id", "k_text", F.col("p").alias("evidence"), "host_posterior", "path_posterior", score.alias("score"), (score >= threshold).alias("keep"))
+    model = docs.sparkSession.sparkContext.broadcast(fit(docs, labels, id_col=id_col, text_col=text_col, label_col=label_col, per_class=per_class))
+
+    @F.pandas_udf("double")
+    def evidence(texts: pd.Series) -> pd.Series:
+        return pd.Series(model.value.of(texts.tolist()))
 
+    path = F.to_json(F.array(*[docs[c].cast("string") for c in path_cols])) if path_cols else F.lit("")
+    rows = saved(docs.select(*kept, docs[host_col].cast("string").alias("host"), path.alias("path"), evidence(docs[text_col]).alias("p")), "evidence")
+    site = sites(rows).withColumnRenamed("host", "s_host").withColumnRenamed("path", "s_path")
+    site = saved(site, "sites")
+    both = rows.join(site, rows["host"].eqNullSafe(site["s_host"]) & (rows["path"] == site["s_path"]))
+    both = both.withColumns(posteriors(F.col("p")))
+    return both.withColumn("score", _score(F.col("p"), F.col("corpus"), F.col("path_posterior")))
 
-def drop_low_quality(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", path_cols: tuple[str, ...] = ("lang",), label_col: str = "quality", per_class: int = PER_CLASS, threshold: float = THRESHOLD) -> DataFrame:
-    """The documents that pass, all their columns.
 
-    A document's evidence is worked out again where its row is and meets its site's posterior there, so that no text is
-    dealt out: sites are a row for each path, which Spark broadcasts while they are under its threshold.
+def score_quality(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", path_cols: tuple[str, ...] = ("lang",), label_col: str = "quality", per_class: int = PER_CLASS, threshold: float = THRESHOLD) -> DataFrame:
+    """A row for each document row: doc_id, k_text, evidence, host_posterior, path_posterior, score, keep.
+
+    Null hosts or paths are sites of their own.  Null and empty texts have all features 0.  Without both labels the
+    evidence is 0.5 throughout.  Labels of held-out ids are not learnt from.  Equal rows score the same.  A document
+    alone in its site has its parent's posterior; one alone in the corpus keeps its evidence.
     """
-    model, _, sites, host, path = _sites(docs, labels, id_col, text_col, host_col, path_cols, label_col, per_class)
+    id_type = "string" if dict(docs.dtypes)[id_col] == "string" else "long"
+    kept = [docs[id_col].cast(id_type).alias("doc_id"), text_key(docs[text_col]).alias("k_text")]
+    found = _scored(docs, labels, kept, id_col=id_col, text_col=text_col, host_col=host_col, path_cols=path_cols, label_col=label_col, per_class=per_class)
+    return found.select("doc_id", "k_text", F.col("p").alias("evidence"), "host_posterior", "path_posterior", "score", (F.col("score") >= threshold).alias("keep"))
 
-    @F.pandas_udf("double")
-    def evidence(texts: pd.Series) -> pd.Series:
-        return pd.Series(model.value.of(texts.tolist()))
 
-    rows = docs.select(F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("row"), host.alias("host"), path.alias("path"), evidence(docs[text_col]).alias("p"))
-    joined = rows.join(sites, rows["host"].eqNullSafe(sites["s_host"]) & (rows["path"] == sites["s_path"]))
-    return joined.where(_score(F.col("p")) >= threshold).select("row.*")
+def drop_low_quality(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", path_cols: tuple[str, ...] = ("lang",), label_col: str = "quality", per_class: int = PER_CLASS, threshold: float = THRESHOLD) -> DataFrame:
+    """The documents that pass, all their columns."""
+    kept = [F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("row")]
+    found = _scored(docs, labels, kept, id_col=id_col, text_col=text_col, host_col=host_col, path_cols=path_cols, label_col=label_col, per_class=per_class)
+    return found.where(F.col("score") >= threshold).select("row.*")
