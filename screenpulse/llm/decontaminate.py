@@ -13,15 +13,18 @@ its items are dealt into automata of that size, scanned in turn, and the word ru
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 from itertools import repeat
 
 import ahocorasick
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark import Broadcast
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_rows, rows_with_key, text_key
+from .common import map_rows, text_key
 
 WINDOW = 10
 MOST_WINDOWS = 1_000_000
@@ -119,8 +122,19 @@ def _schema(id_type: pa.DataType) -> pa.Schema:
     return pa.schema([("doc_id", id_type), ("k_text", pa.int64()), ("n_words", pa.int64()), ("runs", pair("first", "end")), ("items", pa.list_(pa.string())), ("spans", pair("start", "end"))])
 
 
+def _gathered(items: DataFrame, window: int) -> Windows:
+    return Windows([(r["item"], r["text"]) for r in items.collect()], window)
+
+
+def _dealt(benchmark: DataFrame, item_col: str, text_col: str, window: int, most_windows: int) -> list[DataFrame]:
+    """item, text of the benchmark; in parts, if it has more windows than one automaton should hold."""
+    items = benchmark.select(F.coalesce(benchmark[item_col].cast("string"), F.lit("null")).alias("item"), benchmark[text_col].alias("text"))
+    parts = max(1, -(-_n_windows(items, window) // most_windows))
+    return [items.where(F.pmod(F.xxhash64("text"), F.lit(parts)) == n) for n in range(parts)] if parts > 1 else [items]
+
+
 def _block(docs: DataFrame, items: DataFrame, window: int, id_type: str) -> DataFrame:
-    known = docs.sparkSession.sparkContext.broadcast(Windows([(r["item"], r["text"]) for r in items.collect()], window))
+    known = docs.sparkSession.sparkContext.broadcast(_gathered(items, window))
 
     def one(ids: list, keys: list, texts: list) -> dict[str, list]:
         out = [scan(t, known.value) for t in texts]
@@ -144,10 +158,8 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "
     """
     id_type = "string" if dict(docs.dtypes)[id_col] == "string" else "long"
     texts = docs.select(docs[id_col].cast(id_type).alias("doc_id"), text_key(docs[text_col]).alias("k_text"), docs[text_col].alias("text"))
-    items = benchmark.select(F.coalesce(benchmark[item_col].cast("string"), F.lit("null")).alias("item"), benchmark[item_text_col].alias("text"), F.xxhash64(benchmark[item_text_col]).alias("h"))
-    blocks = max(1, -(-_n_windows(items, window) // most_windows))
-    found = [_block(texts, items.where(F.pmod("h", F.lit(blocks)) == b) if blocks > 1 else items, window, id_type) for b in range(blocks)]
-    if blocks == 1:
+    found = [_block(texts, items, window, id_type) for items in _dealt(benchmark, item_col, item_text_col, window, most_windows)]
+    if len(found) == 1:
         return found[0]
     every = found[0]
     for x in found[1:]:
@@ -181,13 +193,21 @@ def _n_windows(items: DataFrame, window: int) -> int:
     return items.where("text is not null").agg(F.sum(count)).first()[0] or 0
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+def decontaminate(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW, most_windows: int = MOST_WINDOWS) -> DataFrame:
     """The documents, all their columns, without those in which any test window occurs.
 
-    Hit documents' keys are anti-joined: few of them, so AQE can send them to the documents where they are.
+    A filter where the documents are: nothing is shuffled.
     """
-    hit = find_contamination(docs, benchmark, id_col=id_col, text_col=text_col, **options).where(F.size("runs") > 0)
-    hit = hit.select(F.col("doc_id").alias("h_id"), F.col("k_text").alias("h_text")).distinct()
-    keyed = rows_with_key(docs, id_col, text_col)
-    id_type = "string" if dict(docs.dtypes)[id_col] == "string" else "long"
-    return keyed.join(hit, keyed["k_id"].cast(id_type).eqNullSafe(hit["h_id"]) & (keyed["k_text"] == hit["h_text"]), "left_anti").select("row.*")
+    kept = docs
+    for items in _dealt(benchmark, item_col, item_text_col, window, most_windows):
+        known = docs.sparkSession.sparkContext.broadcast(_gathered(items, window))
+        kept = kept.where(_clean(known)(docs[text_col]))
+    return kept
+
+
+def _clean(known: Broadcast) -> Callable[[Column], Column]:
+    @F.pandas_udf("boolean")
+    def clean(texts: pd.Series) -> pd.Series:
+        return pd.Series([not scan(t, known.value)[1] for t in texts.tolist()], dtype=bool)
+
+    return clean

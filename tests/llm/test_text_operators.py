@@ -215,8 +215,9 @@ def test_contamination_matches_brute_force(spark, odd, none):
         assert got == sorted((d, *brute_contamination(t, items)) for d, t in docs)
     r = {x["doc_id"]: x for x in rows(decontaminate.find_contamination(df, bench))}
     assert docs[0][1][r[1]["spans"][0]["start"] : r[1]["spans"][0]["end"]] == item.upper()
-    kept = decontaminate.decontaminate(df, bench)
-    assert sorted(x["doc_id"] for x in rows(kept)) == [2, 4, 5]
+    for options in ({}, {"most_windows": 2}):
+        kept = decontaminate.decontaminate(df, bench, **options)
+        assert sorted(x["doc_id"] for x in rows(kept)) == [2, 4, 5]
     assert decontaminate.find_contamination(odd, bench).count() == odd.count()
     assert decontaminate.decontaminate(odd, bench).columns == odd.columns
     assert decontaminate.find_contamination(none, bench).count() == 0
