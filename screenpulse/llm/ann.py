@@ -38,7 +38,7 @@ PREFIX = 64
 SHARE = 0.12
 LEAST = 400
 ALIKE = 0.6
-SAMPLE = 16_384
+SAMPLE = 8_192
 QUERY_BYTES = 32 << 20
 VECTOR_BLOCK = 8_192
 #: Share of the sample that vectors with the same two nearest pivots count for at most when a distance is chosen.
@@ -201,7 +201,9 @@ def _search(rows: DataFrame, queries: DataFrame, space: Space, d: int, query_byt
             out = [shared.value.ask(i, q) for i, q in zip(ids.tolist(), v, strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1).cast(pa.list_(pa.float64())), pa.array([p.tolist() for p, _, _ in out], _ASKED.field(2).type), pa.array([b for _, b, _ in out], pa.float64()), pa.array([x for _, _, x in out], pa.float64())], schema=_ASKED)
 
-    asked = saved(queries.mapInArrow(prepare, "id long, v array<double>, pivots array<int>, bar double, low double"), "asked")
+    # Few rows with much work each: as many tasks as any shuffle has.
+    dealt = queries.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "id")
+    asked = saved(dealt.mapInArrow(prepare, "id long, v array<double>, pivots array<int>, bar double, low double"), "asked")
     blocks = max(1, math.ceil(asked.count() * (8 * d + 4 * space.prefix + 24) / query_bytes))
     part = F.pmod(F.xxhash64("id"), F.lit(blocks))
     found = None
