@@ -46,6 +46,8 @@ class _Show:
         self.t = t
         self.votes = np.asarray(votes, np.float64)
         r = np.asarray(rating, np.float64)
+        if not (np.isfinite(r).all() and np.isfinite(self.votes).all()):
+            raise ValueError("a rating or a vote count is missing")
         mean = float((self.votes * r).sum() / self.votes.sum()) if self.votes.sum() else float(r.mean())
         self.x = (self.votes * r + t.damping * mean) / (self.votes + t.damping) if t.damping else r
         self.labels = [f"S{s}E{n}" for s, n in zip(season, number, strict=True)]
@@ -175,14 +177,19 @@ def verdicts(episodes: DataFrame, t: Thresholds = DEFAULT) -> DataFrame:
     """episodes: series, season, number, tid, rating_x10, votes.  A row for each series, VERDICT_SCHEMA.
 
     Series are dealt out by key and sorted in the JVM; a task then judges run after run of rows, a thousand
-    series to an Arrow batch, so that no frame is made for a series.  The number of tasks is set, as the shuffle
+    series to an Arrow batch, so that no frame is made for a series.  A series that can't be judged has a null kind and
+    says why in reason.  The number of tasks is set, as the shuffle
     is small for what is done with it.
     """
 
     def judge_all(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out: list[tuple] = []
         for series, columns in _runs(batches):
-            out.append(_judged(series, *columns, t))
+            try:
+                out.append(_judged(series, *columns, t))
+            except (ValueError, ArithmeticError, IndexError, TypeError) as error:
+                # One series that can't be judged is a row without a kind, not the end of the job.
+                out.append((series, None, None, None, f"{type(error).__name__}: {error}", None, None, len(columns[0]), [], [], [], []))
             if len(out) == 1000:
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), _ARROW, strict=True)], schema=_ARROW)
                 out = []

@@ -35,6 +35,7 @@ def _arguments(argv: Sequence[str] | None) -> argparse.Namespace:
     add = {n: commands.add_parser(n, help=h) for n, h in (("sync", "fetch, check and build"), ("status", "what is held"), ("show", "one series"), ("bombs", "events of all shows"))}
     for p in add.values():
         p.add_argument("--data-dir", type=Path, default=Path(os.environ.get("SCREENPULSE_DATA", "data")))
+        p.add_argument("--store", help="where tables are, if not in the data folder: an address that executors can read")
     add["sync"].add_argument("--no-history", action="store_true")
     add["show"].add_argument("name")
     add["show"].add_argument("--year", type=int)
@@ -49,7 +50,7 @@ def _arguments(argv: Sequence[str] | None) -> argparse.Namespace:
 
 def main(argv: Sequence[str] | None = None, spark=None) -> int:
     args = _arguments(argv)
-    engine = Engine(ship(spark or session()), args.data_dir)
+    engine = Engine(ship(spark or session()), args.data_dir, store=args.store)
     try:
         {"sync": sync, "status": status, "show": show, "bombs": bombs}[args.command](engine, args)
     except Stop as stop:

@@ -50,6 +50,12 @@ class Store:
         if not self._fs.rename(self._path(self.at(source)), self._path(self.at(target))):
             raise OSError(f"can't move {self.at(source)} to {self.at(target)}")
 
+    def put(self, path: str, name: str) -> str:
+        """Copy a file of the driver into the store, where executors can read it; returns its place."""
+        self._fs.mkdirs(self._path(self.at(name)).getParent())
+        self._fs.copyFromLocalFile(False, True, self._path(f"file://{path}"), self._path(self.at(name)))
+        return self.at(name)
+
     def publish(self, df: DataFrame, name: str) -> None:
         """Write df beside its place, then swap it in: a reader sees the old folder or the new one, whole.
 

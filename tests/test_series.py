@@ -74,6 +74,13 @@ def test_verdicts_by_series(spark):
     assert sigma[1] == pytest.approx(got[1]["sigma"])
 
 
+def test_a_series_that_cannot_be_judged_is_told(spark):
+    rows = [(1, 1, k, k, 80, 100) for k in range(1, 7)] + [(2, 1, k, 10 + k, None, 100) for k in range(1, 7)]
+    df = spark.createDataFrame(rows, "series int, season int, number int, tid int, rating_x10 int, votes long")
+    got = {r["series"]: r for r in verdicts.verdicts(df).collect()}
+    assert got[1]["kind"] == "steady" and got[2]["kind"] is None and "Error" in got[2]["reason"]
+
+
 def contested(spark, **change):
     rows = {k: (80, 1000) for k in range(1, 10)} | {int(k[1:]): v for k, v in change.items()}
     df = spark.createDataFrame([(1, 1, k, k, r, v) for k, (r, v) in rows.items()], "series int, season int, number int, tid int, rating_x10 int, votes long")
