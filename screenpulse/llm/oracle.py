@@ -7,11 +7,9 @@ and are held against brute force in tests/llm.
 
 from __future__ import annotations
 
-import re
 import string
 
 from .linededup import MIN_WORDS
-from .secretscan import RULES, Rule
 
 _LOW = f"translate({{}}, '{string.ascii_uppercase}', '{string.ascii_lowercase}')"
 _WORDS = "regexp_extract_all(coalesce(" + _LOW + r", ''), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
@@ -62,16 +60,23 @@ FROM documents d LEFT JOIN told USING (doc_id) LEFT JOIN kept k USING (doc_id)
 """
 
 
-def _either_case(pattern: str) -> str:
-    """The letters of the keywords in either case, ASCII only."""
-    head, rest = pattern.split(")", 1)
-    return re.sub("[a-z]", lambda m: f"[{m[0].upper()}{m[0]}]", head) + ")" + rest
+#: Kind, expression, group whose length counts, least length: the rules as SQL says them, apart from the operator's own.
+_SECRET_RULES = (
+    ("assign", r"""([Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 2, 6),
+    ("access", r"AKIA[A-Z0-9]+", 0, 20),
+    ("hex", r"[0-9a-f]+", 0, 24),
+    ("private_key", r"-----BEGIN [A-Z ]{0,32}PRIVATE KEY-----", 0, 0),
+    ("github", r"gh[pousr]_[A-Za-z0-9]+", 0, 40),
+    ("slack", r"xox[abprs]-[A-Za-z0-9-]+", 0, 15),
+    ("jwt", r"eyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}", 0, 0),
+    ("url_login", r"://[^\s:@/]{1,256}:[^\s:@/]{1,256}@", 0, 0),
+)
 
 
-def _spans_of(no: int, rule: Rule) -> str:
-    pattern = (_either_case(rule.pattern) if rule.flags & re.I else rule.pattern).replace("'", "''")
-    least = f"length(regexp_extract(m, '{pattern}', {rule.group})) >= {rule.least}"
-    return f"""SELECT doc_id, {no} AS no, '{rule.kind}' AS kind, before + coalesce(lag(upto) OVER d, 0) AS s, before + upto AS e, m FROM (
+def _spans_of(no: int, kind: str, expression: str, group: int, length: int) -> str:
+    pattern = expression.replace("'", "''")
+    least = f"length(regexp_extract(m, '{pattern}', {group})) >= {length}"
+    return f"""SELECT doc_id, {no} AS no, '{kind}' AS kind, before + coalesce(lag(upto) OVER d, 0) AS s, before + upto AS e, m FROM (
   SELECT doc_id, i, m, sum(length(p)) OVER d AS before, sum(length(m)) OVER d AS upto FROM (
     SELECT doc_id, unnest(ms) AS m, unnest(ps[:len(ms)]) AS p, generate_subscripts(ms, 1) AS i FROM (
       SELECT doc_id, regexp_extract_all(text, '{pattern}') AS ms, string_split_regex(text, '{pattern}') AS ps FROM documents)) WINDOW d AS (PARTITION BY doc_id ORDER BY i))
@@ -82,10 +87,10 @@ def _secrets() -> str:
     base = "no < 3"
     count = lambda no, kind: f"count(*) FILTER (WHERE no = {no}) AS n_{kind}"
     return (
-        "WITH spans AS (" + " UNION ALL ".join(_spans_of(i, r) for i, r in enumerate(RULES)) + f"""),
+        "WITH spans AS (" + " UNION ALL ".join(_spans_of(i, *r) for i, r in enumerate(_SECRET_RULES)) + f"""),
 each AS (SELECT doc_id, no, s, kind || ':' || s || ':' || e AS span FROM spans),
-told AS (SELECT doc_id, {", ".join(count(i, r.kind) for i, r in enumerate(RULES[:3]))}, string_agg(span, ',' ORDER BY s, no) FILTER (WHERE {base}) AS base, string_agg(span, ',' ORDER BY s, no) AS spans FROM each GROUP BY doc_id)
-SELECT doc_id, {", ".join(f"coalesce(n_{r.kind}, 0) AS n_{r.kind}" for r in RULES[:3])}, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans FROM documents LEFT JOIN told USING (doc_id)"""
+told AS (SELECT doc_id, {", ".join(count(i, r[0]) for i, r in enumerate(_SECRET_RULES[:3]))}, string_agg(span, ',' ORDER BY s, no) FILTER (WHERE {base}) AS base, string_agg(span, ',' ORDER BY s, no) AS spans FROM each GROUP BY doc_id)
+SELECT doc_id, {", ".join(f"coalesce(n_{r[0]}, 0) AS n_{r[0]}" for r in _SECRET_RULES[:3])}, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans FROM documents LEFT JOIN told USING (doc_id)"""
     )
 
 
