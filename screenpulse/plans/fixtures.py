@@ -71,10 +71,16 @@ ratings AS (SELECT concat('tt', CAST(1000000 + l_orderkey * 10 + l_linenumber AS
 """
 
 
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table of the driver; one whose file can't be split into a part for each core is dealt out first."""
+    df, cores = spark.read.parquet(f"{sf_dir}/{name}.parquet"), spark.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+
+
 def load(spark: SparkSession, sf_dir: str, ctes: str, name: str) -> DataFrame:
     """The table `name` of a derivation, over the driver's files."""
     tables = ("events", "orders", "part", "lineitem", "customer")
-    used = {t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in tables if f"{{{t}}}" in ctes}
+    used = {t: table(spark, sf_dir, t) for t in tables if f"{{{t}}}" in ctes}
     return spark.sql(f"WITH {ctes} SELECT * FROM {name}", **used)
 
 
