@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from screenpulse.llm import decontaminate, linededup, packing, quality, simhash
-from screenpulse.llm.common import read, saved
+from screenpulse.llm.common import dealt, read, saved
 
 
 def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -37,7 +37,7 @@ STAGES = [("quality", quality_filter), ("line_dedup", line_dedup), ("near_dedup"
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = read(spark, sf_dir, "documents")
+    docs = dealt(read(spark, sf_dir, "documents"))
     for name, stage in STAGES[:-1]:
         docs = saved(stage(spark, docs, sf_dir), name)
     return STAGES[-1][1](spark, docs, sf_dir)
