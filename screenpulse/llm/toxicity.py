@@ -263,7 +263,8 @@ class Model:
         distinct = found.some(np.array([m[0] for m in members], np.int64))
         weigh = np.array(share)[labels]
         votes = np.array([[math.fsum(weigh[i] for i in m if labels[i]), math.fsum(weigh[i] for i in m)] for m in members]).reshape(len(members), 2)
-        self.shown = [(min(docs[i] for i in m), len(m), int(labels[m].sum())) for m in members]
+        #: Of each distinct vector: its least document, its examples, those labelled 1.
+        self.shown = ([min(docs[i] for i in m) for m in members], np.array([len(m) for m in members], np.int32), np.array([labels[m].sum() for m in members], np.int32))
         idf = np.log((1 + n) / (1 + df)) + 1
         # Each half's votes from the other half; halves by position, which has nothing to do with labels.
         raw, side = np.zeros(len(members)), np.arange(len(members)) % 2
@@ -275,13 +276,11 @@ class Model:
         self.voters = Voters(distinct, votes, idf, k)
         self.slope, self.offset = calibration(raw, votes[:, 0], votes[:, 1])
 
-    def score_all(self, counted: list[tuple[np.ndarray, np.ndarray]]) -> list[tuple[float, list[dict]]]:
-        """Of each (terms, counts): the score and the neighbours."""
+    def score_all(self, counted: list[tuple[np.ndarray, np.ndarray]]) -> list[tuple[float, np.ndarray, np.ndarray]]:
+        """Of each (terms, counts): the score, the neighbours' numbers and their cosines."""
         found = self.voters.votes_of(counted)
         p = 1 / (1 + np.exp(-(self.slope * _log_odds(np.array([vote for vote, _, _ in found])) + self.offset)))
-        names = ("doc_id", "n", "n_toxic")
-        shown = [[dict(zip(names, self.shown[e], strict=True), cosine=c) for e, c in zip(near.tolist(), cosine.tolist(), strict=True)] for _, near, cosine in found]
-        return list(zip(p.tolist(), shown, strict=True))
+        return [(x, near, cosine) for x, (_, near, cosine) in zip(p.tolist(), found, strict=True)]
 
 
 def codes_of(texts: list[str | None], number: dict[str, int]) -> Iterator[np.ndarray]:
@@ -407,6 +406,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id"
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m, known = model.value, {}  # copies of a text are scored once
+        ids = pa.array(m.shown[0], arrow)
         for batch in slices(batches):
             columns = [batch.column(i) for i in (1, 2)]
             start, (terms, counts) = columns[0].offsets.to_numpy(), (c.values.to_numpy(zero_copy_only=False) for c in columns)
@@ -418,7 +418,11 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id"
                 known, new = {}, {key: i for i, key in enumerate(keys)}
             known |= zip(new, m.score_all([mine[i] for i in new.values()]), strict=True)
             out = [known[key] for key in keys]
-            yield pa.RecordBatch.from_pydict({"doc_id": batch.column(0).to_pylist(), "score": [p for p, _ in out], "neighbours": [e for _, e in out]}, schema=schema)
+            ends = np.r_[0, np.cumsum([len(e) for _, e, _ in out])].astype(np.int32)
+            e = np.concatenate([e for _, e, _ in out])
+            shown = [ids.take(pa.array(e)), pa.array(np.concatenate([c for _, _, c in out])), pa.array(m.shown[1][e]), pa.array(m.shown[2][e])]
+            evidence = pa.ListArray.from_arrays(pa.array(ends), pa.StructArray.from_arrays(shown, fields=list(near)))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([p for p, _, _ in out]), evidence], schema=schema)
 
     scored = counted.where("term is null").select("doc", "terms", "counts").mapInArrow(score, f"doc_id {id_type}, score double, neighbours array<struct<doc_id:{id_type},cosine:double,n:int,n_toxic:int>>")
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", "neighbours")
