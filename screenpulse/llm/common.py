@@ -63,6 +63,19 @@ def forget_all(spark: SparkSession) -> None:
         forget(df)
 
 
+def saved_so_far(spark: SparkSession) -> int:
+    return len(_SAVED.get(spark.sparkContext.applicationId, []))
+
+
+def forget_since(spark: SparkSession, mark: int, but: DataFrame) -> None:
+    """Delete the tables that were written after saved_so_far() gave mark, except one: for when that one is all that is needed."""
+    every = _SAVED.get(spark.sparkContext.applicationId, [])
+    for df in every[mark:]:
+        if df is not but:
+            forget(df)
+    every[mark:] = [df for df in every[mark:] if df is but]
+
+
 def forget(df: DataFrame) -> None:
     """Delete a table that saved() wrote, once nothing reads it any more."""
     spark, path = df.sparkSession, getattr(df, "_screenpulse_path", None)

@@ -330,6 +330,13 @@ def test_neighbours_do_not_depend_on_partitions(spark):
     assert found[0] == found[1] == found[2] and len(found[0]) == 150 * 20
 
 
+def test_no_usable_vectors(spark):
+    odd = spark.createDataFrame([(20, None), (40, [0.0, 0.0]), (60, [float("nan"), 1.0]), (None, [1.0, 2.0])], "vec_id long, embedding array<float>")
+    assert ann.nearest(odd, F.col("id") % 20 == 0).count() == 0
+    alone = spark.createDataFrame([(20, [1.0, 2.0]), (20, [1.0, 2.0])], "vec_id long, embedding array<float>")
+    assert ann.nearest(alone, F.col("id") % 20 == 0).count() == 0
+
+
 def test_most_vectors_are_not_scored():
     """On vectors without any structure, the worst case for an index."""
     rng = np.random.default_rng(4)

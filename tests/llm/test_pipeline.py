@@ -77,6 +77,21 @@ def test_stages_on_odd_rows(spark, odd, folder, no_sides, sides):
     assert Counter(p["doc_id"] for p in pieces).keys() == Counter(r["doc_id"] for r in rows(docs)).keys()
 
 
+def test_a_run_leaves_little_behind(spark, folder):
+    import os
+
+    from screenpulse.llm.common import forget_all, shared_dir
+
+    forget_all(spark)
+    before = set(os.listdir(shared_dir(spark)))
+    out = corpus_pipeline.run(spark, folder)
+    left = sorted(n.split("-")[1] for n in set(os.listdir(shared_dir(spark))) - before if n.startswith("screenpulse"))
+    assert left == ["decontamination", "ids"] or (left[0] == "decontamination" and len(left) <= 3)
+    assert out.count() > 0
+    forget_all(spark)
+    assert not [n for n in set(os.listdir(shared_dir(spark))) - before if n.startswith("screenpulse")]
+
+
 def test_empty_tables(spark, none, folder):
     docs = none
     for _, stage in corpus_pipeline.STAGES:

@@ -341,6 +341,19 @@ def test_line_runs_match_brute_force(spark):
         assert [got.get(i, set()) for i in range(len(docs))] == brute_runs(docs, least)
 
 
+def test_ranks_are_places_in_the_sorted_array(spark):
+    """Ranks of pairs are in the order of the suffixes, and only repeated ones have a rank."""
+    lines = ["a", "b", "a", "b", "c", "a", "c", "b", "a", "b", "d"]
+    df = spark.createDataFrame([(0, "\n".join(lines))], "doc_id long, text string")
+    found = linededup.saved(linededup._lines(df, "doc_id", "text", 4, "long"), "lines")
+    groups = rows(linededup._ranked(found, ["h1", "h2"], "ranks"))
+    assert [g["rank"] for g in sorted(groups, key=lambda g: (g["h1"], g["h2"]))] == sorted(g["rank"] for g in groups) and len(groups) == 3  # d stands once
+    assert {r["line"]: [x["d"] for x in r["runs"]] for r in rows(found)} == {i: [4] if i < 8 else [] for i in range(11)}
+    ids = spark.createDataFrame([("x", "p q r s\nt"), (None, "p q r s\nt"), ("y", "t\np q r s")], "doc_id string, text string")
+    got = {r["k_id"]: words_of(r["runs"]) for r in rows(linededup.repeated_runs(ids, min_words=4))}
+    assert got == {"x": {0, 1}, "y": {1}}
+
+
 def test_line_dedup_keeps_the_first_copy_and_what_is_around(odd, none, spark):
     p, q = " ".join(f"w{i}" for i in range(60)), " ".join(f"v{i}" for i in range(60))
     df = spark.createDataFrame([(1, f"x\n{p}\ny"), (2, f"{p}\nz"), (3, f"a\n{p}"), (4, q), (5, f"b\n\n{p}\n\n{q}\nc")], "doc_id long, text string")
@@ -410,6 +423,18 @@ def test_snapshots_collapse(spark):
     assert chat.collapse(df.limit(0)).count() == 0
 
 
+def test_chat_odd_rows(spark):
+    """Nulls in any column, empty and very long texts, repeated rows, clashing names."""
+    long = "long " * 200_000
+    data = [(1, 0, "user", long), (1, 1, None, None), (2, 0, "user", long), (3, None, "user", ""), (3, None, "user", ""), (4, None, "user", ""), (None, None, None, None), (None, 3, None, None), (5, 0, "user", None)]
+    df = spark.createDataFrame(data, "conv_id long, turn int, role string, text string")
+    for c in ("place", "h0", "last", "hash", "turns", "rendered"):
+        df = df.withColumn(c, F.lit("x"))
+    got = {r["conv_id"]: r for r in rows(chat.collapse(df))}
+    assert set(got) == {1, 3, 5, None} and got[3]["n_turns"] == 2  # 2 begins 1, 4 begins 3
+    assert got[1]["rendered"] == f"<|user|>\n{long}\n<|user|>\n\n<|end|>" and got[None]["n_turns"] == 1
+
+
 def test_a_conversation_of_many_turns(spark):
     """100,000 turns in one conversation, and its first half: linear, so a matter of seconds."""
     import time
