@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from screenpulse.llm import decontaminate, linededup, packing, quality, simhash
-from screenpulse.llm.common import dealt, read, saved
+from screenpulse.llm.common import dealt, forget_since, read, saved, saved_so_far
 
 
 def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -37,9 +37,11 @@ STAGES = [("quality", quality_filter), ("line_dedup", line_dedup), ("near_dedup"
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = dealt(read(spark, sf_dir, "documents"))
+    """All stages.  Once a stage's output is written, what it and the stage before wrote on the way is deleted."""
+    docs, mark = dealt(read(spark, sf_dir, "documents")), saved_so_far(spark)
     for name, stage in STAGES[:-1]:
         docs = saved(stage(spark, docs, sf_dir), name)
+        forget_since(spark, mark, docs)
     return STAGES[-1][1](spark, docs, sf_dir)
 
 
