@@ -313,21 +313,20 @@ def examples(docs: DataFrame, chosen: DataFrame, id_type: str) -> pa.Table:
     """
     both = docs.join(F.broadcast(chosen), docs["doc"] == chosen["doc"]).select(chosen["doc"], chosen["y"], "text")
     arrow = pa.string() if id_type == "string" else pa.int64()
-    schema = pa.schema([("doc", arrow), ("y", pa.int32()), ("terms", pa.list_(pa.string())), ("counts", pa.list_(pa.int64()))])
+    schema = pa.schema([("doc", arrow), ("y", pa.int32()), ("terms", pa.list_(pa.string())), ("counts", pa.list_(pa.int32()))])
 
     def one(ids: list, ys: list, texts: list) -> dict[str, list]:
         found = [sorted(Counter(terms_of(t)).items()) for t in texts]
         return {"doc": ids, "y": ys, "terms": [[t for t, _ in f] for f in found], "counts": [[n for _, n in f] for f in found]}
 
-    rows = map_rows(both, one, f"doc {id_type}, y int, terms array<string>, counts array<long>", schema)
-    return rows.groupBy("doc").agg(F.min(F.struct("terms", "counts", "y")).alias("m")).select("doc", "m.y", "m.terms", "m.counts").toArrow().sort_by("doc")
+    rows = map_rows(both, one, f"doc {id_type}, y int, terms array<string>, counts array<int>", schema)
+    return rows.groupBy("doc").agg(F.min(F.struct("terms", "counts", "y")).alias("m")).select("doc", "m.y", "m.terms", "m.counts").orderBy("doc").toArrow()
 
 
-def encoded(terms: pa.ChunkedArray, counts: pa.ChunkedArray) -> tuple[list[str], Vectors]:
+def encoded(terms: pa.ListArray, counts: pa.ListArray) -> tuple[list[str], Vectors]:
     """(all terms in order, the rows with terms as their places).  Terms of a row are in order, so their places are too."""
     if not len(terms):
         return [], Vectors(np.zeros(1, np.int64), np.zeros(0, np.int32), np.zeros(0))
-    terms, counts = terms.combine_chunks(), counts.combine_chunks()
     words = terms.flatten().dictionary_encode()
     spelt = words.dictionary.to_pylist()
     order = sorted(range(len(spelt)), key=spelt.__getitem__)
@@ -375,15 +374,18 @@ def fit(docs: DataFrame, labels: DataFrame, *, id_col: str, label_col: str, per_
     """docs: doc, text.  The model, and vectors()."""
     chosen, every = sample(labels.withColumn(id_col, F.col(id_col).cast(id_type)), per_class, id_col=id_col, label_col=label_col)
     rows = examples(docs, chosen, id_type)
-    vocab, found = encoded(rows["terms"], rows["counts"])
-    rows = rows.select(["doc", "y"])
+    y, ids = rows["y"].to_numpy().astype(np.int64), rows["doc"].to_pylist()
+    terms, counts = (rows[c].combine_chunks() for c in ("terms", "counts"))
+    del rows  # one copy of the examples at a time is on the driver
+    vocab, found = encoded(terms, counts)
+    del terms, counts
+    pa.default_memory_pool().release_unused()
     counted = vectors(docs, vocab, id_type)
     df, n = document_frequencies(counted, len(vocab))
-    y = rows["y"].to_numpy().astype(np.int64)
     in_sample = np.bincount(y, minlength=2)
     share = [every[c] / in_sample[c] if in_sample[c] else 0.0 for c in (0, 1)]
     mean = float(np.dot(share, in_sample) / max(1, len(y)))
-    return Model(found, y, rows["doc"].to_pylist(), tuple(s / mean if mean else 0.0 for s in share), df, n, k), counted
+    return Model(found, y, ids, tuple(s / mean if mean else 0.0 for s in share), df, n, k), counted
 
 
 def score_toxicity(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", per_class: int = PER_CLASS, k: int = NEIGHBOURS) -> DataFrame:
